@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_documents
 from .common import table
+from .embeddings import near_vectors
+from .html import extract
+from .merkle import fingerprints
 from .packing import pack
 from .simhash import near_copies
+from .suffix import remove_repeats
 from .toxicity import toxicity, train
 
 
@@ -23,15 +27,48 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=200, keep="none").drop("spans", "kept")
+
+
+def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op6_packing, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op5_embeddings, op6_packing, op7_suffix, op8_merkle, op9_html, op10_bpe)}
 
 #: DuckDB SQL where it can express a query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_embeddings": """
+        WITH RECURSIVE e AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+              AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))
+              AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+        pairs AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (
+            SELECT vec_id AS x, vec_id AS y FROM embeddings
+            UNION SELECT r.x, p.y FROM reach r JOIN pairs p ON r.y = p.x),
+        least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+        counts AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN least ON least.x = vec_id LEFT JOIN counts ON counts.x = vec_id""",
+}
