@@ -12,10 +12,15 @@ from .embeddings import near_vectors
 from .html import extract
 from .merkle import fingerprints
 from .packing import pack
+from .pii import pseudonymise
+from .resampling import resample, target_rows
 from .simhash import near_copies
 from .suffix import remove_repeats
 from .toxicity import toxicity, train
 
+#: The key of these queries; a real run takes its own from a secret store.
+PII_KEY = "fgspark-demo-key"
+
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -23,10 +28,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", F.to_json("spans"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PII_KEY)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op4_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return resample(docs, target_rows(docs, table(spark, sf_dir, "labels")), share=0.8)
+
+
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
@@ -51,7 +65,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), with_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op5_embeddings, op6_packing, op7_suffix, op8_merkle, op9_html, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_pii, op3_simhash, op4_resampling, op5_embeddings, op6_packing, op7_suffix, op8_merkle, op9_html, op10_bpe)}
 
 #: DuckDB SQL where it can express a query.
 ORACLE_SQL: dict[str, str] = {
