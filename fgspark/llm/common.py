@@ -11,16 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder, so that a lost executor costs no earlier stage.
-
-    The folder is spark.checkpoint.dir of the session. Only where that is unset (tests on one machine) a temporary
-    folder of this machine is taken.
-    """
-    context = df.sparkSession.sparkContext._jsc.sc()
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints: spark.checkpoint.dir of the session; only where that is unset (tests on one machine) a
+    temporary folder of this machine."""
+    context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        folder = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir")
+        folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fgspark-checkpoint-"))
+    return context.getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared checkpoint folder, so that a lost executor costs no earlier stage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
