@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, pieces, utf8
+from .common import pieces, release, utf8, written
 
 LENGTH = 200
 GRAM = 16
@@ -193,31 +193,38 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
     """
     first_stays = keep == "first"
 
+    spark = docs.sparkSession
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in pieces(batch, "t"):
                 text, a, b, m, c = regions(texts, length)
-                own = batch.slice(at, len(texts))
-                take = pa.array(text)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id").take(take), own.column("key").take(take), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(m), pa.array(c)], names=["doc_id", "key", "a", "b", "m", "c"])
+                key = batch.column("key").slice(at, len(texts)).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([key, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(m), pa.array(c)], names=["key", "a", "b", "m", "c"])
 
-    region_rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "key", "t").mapInArrow(find, "doc_id long, key binary, a int, b int, m long, c long")
+    region_rows = written(docs.select("key", "t").mapInArrow(find, "key binary, a int, b int, m long, c long"))
     often = region_rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
-    shared = cut_lineage(region_rows.join(often, "m"))
-    contents = shared.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key", "b")).alias("at"))
-    contents = cut_lineage(contents)
+    shared = written(region_rows.join(often, "m"))
+    # the first document of each text
+    owner = docs.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"))
+    if first_stays:
+        shared = written(shared.join(owner, "key"))
+    else:
+        shared = shared.withColumn("doc_id", F.lit(0).cast("long"))
+    contents = written(shared.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key", "b")).alias("at")))
+    release(spark)
     copied = shared.join(contents.where("n > 1").select("m", "c", F.col("at.key").alias("first_key"), F.col("at.a").alias("first_a")), ["m", "c"])
     if first_stays:
         copied = copied.where("key <> first_key or a <> first_a")
-    whole = copied.select("key", "a", (F.col("b") + length).alias("e")).distinct()
+    whole = written(copied.select("key", "a", (F.col("b") + length).alias("e")).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans")))
 
     kinds = contents.groupBy("m").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1" if first_stays else "kinds > 1 and least = 1")
-    differ = contents.join(kinds.select("m", "kinds"), "m").select("m", "c", "n", "kinds", "at.doc_id", "at.key", "at.a", "at.b")
-    asked = differ.groupBy("doc_id", "key").agg(F.collect_list(F.struct("m", "a", "b", "kinds")).alias("asked"))
-    sources = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "key", "t")
-    found = sources.join(asked, ["doc_id", "key"]).withColumn("r", F.explode(F.array_distinct("asked")))
-    cut = found.select("r.m", "doc_id", "key", "r.a", "r.kinds", F.expr(f"substring(t, r.a + 1, r.b - r.a + {length})").alias("t"))
-    cut = cut_lineage(cut)
+    differ = contents.join(kinds.select("m", "kinds"), "m").select("m", "kinds", "at.key", "at.a", "at.b")
+    asked = differ.groupBy("key").agg(F.collect_list(F.struct("m", "a", "b", "kinds")).alias("asked")).join(owner, "key")
+    sources = docs.select("key", "t", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"))
+    found = sources.join(asked, ["key", "doc_id"]).withColumn("r", F.explode("asked"))
+    cut = written(found.select("r.m", "doc_id", "key", "r.a", "r.kinds", F.expr(f"substring(t, r.a + 1, r.b - r.a + {length})").alias("t")))
+    release(spark)
 
     few = cut.where(F.col("kinds") <= many).drop("kinds")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -241,8 +248,10 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
         hashed = hashed.where("key <> at.key or a <> at.a")
     hashed = hashed.select("key", "a", (F.col("a") + length).alias("e"))
 
-    every = whole.unionByName(ordered).unionByName(hashed)
-    return every.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    partly = ordered.unionByName(hashed).groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    every = written(whole.unionByName(partly).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    release(spark)
+    return every
 
 
 def _suffix_order(length: int, first_stays: bool):
@@ -269,18 +278,23 @@ def _suffix_order(length: int, first_stays: bool):
     return run
 
 
-def marked(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with two more columns, __key and __spans (null: nothing to remove)."""
-    keyed = docs.withColumn("__t", utf8(text_col)).withColumn("__key", F.substring(F.unhex(F.sha2("__t", 256)), 1, 16))
-    slim = keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col("__key").alias("key"), F.col("__t").alias("t"))
+def marked(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str | None = "text") -> DataFrame:
+    """The rows of docs with the columns __t (the text's bytes), __key and __spans (null: nothing to remove).
+
+    text_col None: docs has __t in the place of a text.
+    """
+    data = F.col("__t") if text_col is None else utf8(text_col)
+    key = F.substring(F.unhex(F.sha2(data, 256)), 1, 16)
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), data.alias("t"))
     found = spans(slim, length, keep).select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
-    rows = keyed.join(found, "__key", "left")
-    if keep == "none":
-        return rows
-    first = slim.groupBy(F.col("key").alias("__key")).agg(F.min("doc_id").alias("__first"))
-    later = (F.col(id_col).cast("long") > F.col("__first")) & (F.length("__t") >= length)
-    everything = F.array(F.struct(F.lit(0).alias("a"), F.length("__t").alias("e")))
-    return rows.join(first, "__key").withColumn("__spans", F.when(later, everything).otherwise(F.col("__spans")))
+    if keep == "first":
+        found = found.join(slim.groupBy(F.col("key").alias("__key")).agg(F.min("doc_id").alias("__first")), "__key", "outer")
+    rows = docs.withColumn("__key", key).join(found, "__key", "left").withColumn("__t", data)
+    if keep == "first":
+        later = (F.col(id_col).cast("long") > F.col("__first")) & (F.length("__t") >= length)
+        everything = F.array(F.struct(F.lit(0).alias("a"), F.length("__t").alias("e")))
+        rows = rows.withColumn("__spans", F.when(later, everything).otherwise(F.col("__spans")))
+    return rows
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +323,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep: str = "none", id
             columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    rows = marked(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), length, keep)
+    rows = marked(docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("__t")), length, keep, text_col=None)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept binary"
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__t").alias("t"), F.col("__spans").alias("s")).mapInArrow(run, schema)
 
