@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import approximate, exact, sampling
+from ..kernels.decompose import acyclic_greedy
 from ..kernels.graph import Graph, lse
 from . import optim
 
@@ -125,6 +126,25 @@ def pseudolikelihood(graph: Graph, state, seen, seed: int, before: Graph | None)
     return value, out
 
 
+def composite(graph: Graph, state, seen, seed: int, before: Graph | None):
+    """-log p of each part given the rest, over the trees that acyclic_greedy() leaves of the graph."""
+    out_of = acyclic_greedy(graph, [1.0] * len(graph.factors))
+    label = graph.components(out_of)
+    value, slopes = 0.0, [np.zeros(t.shape) for _, t in graph.factors]
+    for c in sorted(set(label)):
+        members = [v for v, x in enumerate(label) if x == c]
+        new = {v: i for i, v in enumerate(members)}
+        own = [k for k, (scope, _) in enumerate(graph.factors) if any(v in new for v in scope)]
+        cut = [tuple(slice(None) if v in new else state[v] for v in graph.factors[k][0]) for k in own]
+        part = Graph([graph.cards[v] for v in members], [(tuple(new[v] for v in graph.factors[k][0] if v in new), graph.factors[k][1][at]) for k, at in zip(own, cut)])
+        marginals, z = _marginals(part)
+        mine = [state[v] for v in members]
+        value += part.energy(mine) + z
+        for k, at, one, m in zip(own, cut, _one_hot(part, mine), marginals):
+            slopes[k][at] += one - m
+    return value, slopes
+
+
 def piecewise(graph: Graph, state, seen, seed: int, before: Graph | None):
     """Each factor as a model of its own."""
     value, out = 0.0, []
@@ -163,7 +183,7 @@ def violation(graph: Graph, state, seen, seed: int, before: Graph | None):
     return float(list(best) != list(state)), [a - b for a, b in zip(_one_hot(graph, state), _one_hot(graph, best))]
 
 
-OBJECTIVES = {"mle": likelihood, "mple": pseudolikelihood, "npw": piecewise, "cd": contrastive_divergence, "ssvm": hinge, "perceptron": violation}
+OBJECTIVES = {"mle": likelihood, "mple": pseudolikelihood, "mcle": composite, "npw": piecewise, "cd": contrastive_divergence, "ssvm": hinge, "perceptron": violation}
 
 
 def evaluate(data: DataFrame, model: Model, objective: str, w: np.ndarray, before: np.ndarray | None = None, seed: int = 0) -> tuple[float, np.ndarray, int]:

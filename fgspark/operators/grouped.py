@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..kernels import approximate, exact, sampling
+from ..kernels.decompose import acyclic_greedy
 from ..kernels.graph import Graph, Result
 
 #: Methods of infer(): name -> (kernel, whether it gives a labeling).
@@ -36,18 +37,8 @@ MAP_METHODS = {
 
 
 def acyclic_cut(graph: Graph) -> set[int]:
-    """Factors to leave out so that each component is a forest no left-out factor's ends share: greedy, in order of spread.
-
-    A factor is taken in if it is the only one that links the components it touches.
-    """
-    out = {k for k, (scope, _) in enumerate(graph.factors) if len(scope) > 1}
-    for k in sorted(out, key=lambda k: -float(np.ptp(graph.factors[k][1]))):
-        label = graph.components(out)
-        mine = {label[v] for v in graph.factors[k][0]}
-        links = [j for j in out if len({label[v] for v in graph.factors[j][0]} & mine) > 1]
-        if len(mine) == len(graph.factors[k][0]) and links == [k]:
-            out.discard(k)
-    return out
+    """Factors to leave out so that the rest are trees without a left-out factor inside; those of most spread stay first."""
+    return acyclic_greedy(graph, [float(np.ptp(t)) for _, t in graph.factors])
 
 
 def _graph(rows: pd.DataFrame) -> tuple[Graph, list[int], list[int]]:

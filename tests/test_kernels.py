@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from fgspark.kernels import approximate, exact, sampling
+from fgspark.kernels import approximate, decompose, exact, sampling
 from fgspark.kernels.graph import Graph
 
 PAIR = [((0, 1), [0, 0.3, 0.2, 0]), ((0,), [0.1, 0.7]), ((1,), [0.3, 0.6])]
@@ -122,3 +122,31 @@ def test_reliability_and_cover():
     assert len(trees) == 2 and min(count) >= 1
     for tree in trees:
         assert Graph(g.cards, [g.factors[k] for k in tree]).is_forest()
+
+
+def ring(weights):
+    n = len(weights)
+    return Graph.of([2] * n, [((i, (i + 1) % n), [0] * 4) for i in range(n)])
+
+
+def test_induced_forests():
+    weights = [1, 0.5, 1, 0.3]
+    for rule in (decompose.acyclic_exact, decompose.acyclic_greedy, decompose.acyclic_annealed):
+        assert rule(ring(weights), weights) == {1, 3}
+    g = Graph.of([2] * 9, [s for s in ((f[0], f[1].ravel(order="F")) for f in grid(np.random.default_rng(0), 3).factors) if len(s[0]) == 2])
+    exact_, greedy = (len(g.factors) - len(rule(g, [1.0] * len(g.factors))) for rule in (decompose.acyclic_exact, decompose.acyclic_greedy))
+    assert exact_ >= greedy and exact_ == 7  # two induced trees
+
+
+def test_set_packing_and_trails():
+    sets = [{0, 1}, {1, 2}, {2, 3}, {3, 4}, {0, 4}, {2, 5}, {3, 5}, {4, 5}]
+    chosen, value = decompose.set_packing(sets, [3, 2, 7, 9, 8, 1, 4, 4])
+    assert value == 15 and sum(chosen) == 2
+    steps = decompose.message_schedule(ring([1] * 5))
+    assert len(steps) == len(set(steps)) == 20 and all(a[1] == b[0] for a, b in zip(steps, steps[1:]))
+
+
+def test_random_trees():
+    for seed in range(5):
+        g = decompose.random_tree([[2, 2], [2, 3, 2], [3]], [1, 1, 0.5], 12, seed)
+        assert g.is_forest() and len(g.factors) == 12 and len(set(g.components())) == 1

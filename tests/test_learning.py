@@ -58,7 +58,7 @@ def test_training_recovers_marginals(chains, objective):
     assert max(np.abs(a - b).max() for a, b in zip(got, chains[3])) < 0.06
 
 
-@pytest.mark.parametrize("objective", ["mle", "mple", "npw"])
+@pytest.mark.parametrize("objective", ["mle", "mple", "mcle", "npw"])
 def test_gradients(chains, objective):
     model = Model([Type("pair", [2, 2])])
     f = lambda w: evaluate(chains[2], model, objective, w)[:2]
