@@ -55,7 +55,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """links: two columns of long ids, in either order, with repeats, loops and nulls (ignored).
 
-    Returns (node, component): every node that has a link to another one, and the smallest node it reaches. Each task
+    Returns (node, component): every node that reaches a smaller one, and the smallest node it reaches. Each task
     first replaces its links by stars of the same reach. Then stars alternate (large: a node's greater neighbours move
     to its smallest one; small: its smaller neighbours do) until nothing changes, a logarithmic number of rounds. A
     round is joins and sums by key over links alone and ends in a checkpoint; a hub with many links is summed before
