@@ -75,14 +75,14 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     piece = F.coalesce(F.floor((F.col(id_col) - least) / width), F.lit(-1)).cast("long")
     rows = docs.withColumn("__range", piece).withColumn("__tie", F.xxhash64(*columns))
     row = F.struct(*columns)
-    order = [F.desc_nulls_last(id_col), F.asc("__tie")]
-    firsts = rows.groupBy("__range").agg(F.max(id_col).alias("__id"))
-    heads = rows.join(firsts.withColumnRenamed("__range", "__r"), (F.col("__range") == F.col("__r")) & F.col(id_col).eqNullSafe(F.col("__id")))
-    heads = heads.groupBy("__range").agg(F.min_by(row, "__tie").alias("__head"))
+    order = Window.partitionBy("__range").orderBy(F.desc_nulls_last(id_col), F.asc("__tie"))
+    # the first rows of ranges come from the same shuffle as the rows themselves
+    heads = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(F.col("__range").alias("__r"), row.alias("__head"))
     # one row per range, at most a row per RANGE documents where ids are dense
-    after = firsts.select(F.col("__range").alias("__from"), F.coalesce(F.lead("__range").over(Window.orderBy(F.desc("__range"))), F.max("__range").over(Window.partitionBy(F.lit(0)))).alias("__to"))
-    heads = heads.join(after, F.col("__range") == F.col("__to")).select(F.col("__from").alias("__range"), "__head")
-    led = rows.withColumn("__lead", F.lead(row).over(Window.partitionBy("__range").orderBy(*order)))
+    ranges = docs.select(piece.alias("__range")).distinct()
+    after = ranges.select(F.col("__range").alias("__from"), F.coalesce(F.lead("__range").over(Window.orderBy(F.desc("__range"))), F.max("__range").over(Window.partitionBy(F.lit(0)))).alias("__to"))
+    heads = heads.join(after, F.col("__r") == F.col("__to")).select(F.col("__from").alias("__range"), "__head")
+    led = rows.withColumn("__lead", F.lead(row).over(order))
     return led.join(heads, "__range", "left").withColumn("next", F.coalesce("__lead", "__head")).drop("__range", "__tie", "__lead", "__head")
 
 
@@ -95,11 +95,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     read. One shuffle of the texts.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("fingerprint", fingerprint(F.col("text")))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    rows = with_next(own, "doc_id", ["text", "fingerprint"])
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", F.col("next.fingerprint").alias("__next"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("__edited"))
+    rows = with_next(own, "doc_id", ["text"])
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("next.text")).alias("__next"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("__edited"))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("__edited")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
