@@ -9,7 +9,9 @@ their minimizer's hash, so equal windows meet. Then, in growing order of cost:
 3. What differs under one minimizer is put in suffix order, many minimizers at a time. Cut at `length` bytes and with
    ties in order of position, the previous smaller position of a suffix is its neighbour in this order, and the longest
    previous factor reaches `length` where the neighbour agrees on `length` bytes.
-4. A minimizer with very many different regions isn't gathered: its windows are counted by a 128-bit hash.
+4. A minimizer with very many different regions isn't gathered. Its windows are parted by their distance from the
+   minimizer, in classes of ever fewer windows; windows of a class share bytes around the minimizer, so parts are dealt
+   by those, and steps 1 to 3 hold for them. A row becomes a few parts at each of the levels, the last of one window.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ from .common import pieces, release, utf8, written
 
 LENGTH = 200
 GRAM = 16
-#: Different regions of one minimizer from which windows are hashed instead of gathered.
+#: Different regions of one minimizer from which they are parted instead of gathered, and the widths of parts.
 MANY = 2048
+WIDTHS = (48, 12, 3, 1)
 #: Bytes that are put in suffix order at once.
 ORDERED = 1 << 20
 _POSITION = np.uint64((1 << 28) - 1)
@@ -76,10 +79,10 @@ def grams(buffer: np.ndarray) -> np.ndarray:
 
 
 def regions(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, minimizer hash, content hash) of all regions of the texts."""
+    """(text, first window, last window, minimizer, its hash, content hash) of all regions of the texts."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     joined = b"".join(texts)
-    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+    none = tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     if not (sizes >= length).any():
         return none
     if len(joined) > _POSITION:
@@ -110,7 +113,23 @@ def regions(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     first, last = first[valid[first]], last[valid[first]]
     text = np.searchsorted(ends, first, side="right")
     content = np.array([xxhash.xxh3_64_intdigest(joined[a : b + length]) for a, b in zip(first.tolist(), last.tolist())], dtype=np.uint64)
-    return text, first - starts[text], last - starts[text], hashes[place[first]].view(np.int64), content.view(np.int64)
+    return text, first - starts[text], last - starts[text], place[first] - starts[text], hashes[place[first]].view(np.int64), content.view(np.int64)
+
+
+def parts(data: bytes, a: int, anchor: int, m: int, length: int, width: int) -> list[tuple[int, int, int, int]]:
+    """A region's windows by their distance from the minimizer, `width` distances a class.
+
+    data: the region's bytes, from a on. Gives (first window, last window, hash of m, class and the bytes that all
+    windows of the class have, content hash) for each class.
+    """
+    b, out = a + len(data) - length, []
+    for k in range((anchor - b) // width, (anchor - a) // width + 1):
+        first, last = max(a, anchor - (k + 1) * width + 1), min(b, anchor - k * width)
+        shared = data[anchor - k * width - a : anchor - (k + 1) * width + 1 + length - a]
+        key = xxhash.xxh3_64_intdigest(b"%d %d " % (m, k) + shared)
+        content = xxhash.xxh3_64_intdigest(data[first - a : last + length - a])
+        out.append((first, last, *(x - (1 << 64) if x >> 63 else x for x in (key, content))))
+    return out
 
 
 def ranks(buffer: np.ndarray, length: int) -> np.ndarray:
@@ -198,12 +217,12 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in pieces(batch, "t"):
-                text, a, b, m, c = regions(texts, length)
+                text, a, b, p, m, c = regions(texts, length)
                 key = batch.column("key").slice(at, len(texts)).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([key, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(m), pa.array(c)], names=["key", "a", "b", "m", "c"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(m), pa.array(c)], names=["key", "a", "b", "p", "m", "c"])
 
-    region_rows = written(docs.select("key", "t").mapInArrow(find, "key binary, a int, b int, m long, c long"))
-    often = region_rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m")
+    region_rows = written(docs.select("key", "t").mapInArrow(find, "key binary, a int, b int, p int, m long, c long"))
+    often = written(region_rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))  # so that the join can split a large partition
     shared = written(region_rows.join(often, "m"))
     # the first document of each text
     owner = docs.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"))
@@ -211,7 +230,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
         shared = written(shared.join(owner, "key"))
     else:
         shared = shared.withColumn("doc_id", F.lit(0).cast("long"))
-    contents = written(shared.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key", "b")).alias("at")))
+    contents = written(shared.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key", "b", "p")).alias("at")))
     release(spark)
     copied = shared.join(contents.where("n > 1").select("m", "c", F.col("at.key").alias("first_key"), F.col("at.a").alias("first_a")), ["m", "c"])
     if first_stays:
@@ -219,36 +238,45 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
     whole = written(copied.select("key", "a", (F.col("b") + length).alias("e")).distinct().groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans")))
 
     kinds = contents.groupBy("m").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1" if first_stays else "kinds > 1 and least = 1")
-    differ = contents.join(kinds.select("m", "kinds"), "m").select("m", "kinds", "at.key", "at.a", "at.b")
-    asked = differ.groupBy("key").agg(F.collect_list(F.struct("m", "a", "b", "kinds")).alias("asked")).join(owner, "key")
+    differ = contents.join(kinds.select("m", "kinds"), "m").select("m", "kinds", "at.key", "at.a", "at.b", "at.p")
+    asked = differ.groupBy("key").agg(F.collect_list(F.struct("m", "a", "b", "p", "kinds")).alias("asked")).join(owner, "key")
     sources = docs.select("key", "t", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"))
     found = sources.join(asked, ["key", "doc_id"]).withColumn("r", F.explode("asked"))
-    cut = written(found.select("r.m", "doc_id", "key", "r.a", "r.kinds", F.expr(f"substring(t, r.a + 1, r.b - r.a + {length})").alias("t")))
+    cut = written(found.select("r.m", "doc_id", "key", "r.a", "r.p", "r.kinds", F.expr(f"substring(t, r.a + 1, r.b - r.a + {length})").alias("t")))
     release(spark)
 
-    few = cut.where(F.col("kinds") <= many).drop("kinds")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = few.repartition(n, "m").sortWithinPartitions("m").mapInArrow(_suffix_order(length, first_stays), "key binary, a int, e int")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in pieces(batch, "t", 1 << 16):
-                own = batch.slice(at, len(texts))
-                counts = [len(t) - length + 1 for t in texts]
-                take = pa.array(np.repeat(np.arange(len(texts)), counts))
-                offset = np.concatenate([np.arange(c) for c in counts])
-                hashes = [xxhash.xxh3_128_digest(t[i : i + length]) for t, c in zip(texts, counts) for i in range(c)]
-                start = own.column("a").take(take).to_numpy() + offset
-                yield pa.RecordBatch.from_arrays([own.column("doc_id").take(take), own.column("key").take(take), pa.array(start.astype(np.int32)), pa.array(hashes, pa.binary())], names=["doc_id", "key", "a", "w"])
-
-    each = cut.where(F.col("kinds") > many).mapInArrow(windows, "doc_id long, key binary, a int, w binary").dropDuplicates(["key", "a"])
-    again = each.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key")).alias("at")).where("n > 1")
-    hashed = each.join(again, "w")
-    if first_stays:
-        hashed = hashed.where("key <> at.key or a <> at.a")
-    hashed = hashed.select("key", "a", (F.col("a") + length).alias("e"))
-
-    partly = ordered.unionByName(hashed).groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
+    def part(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found: list[tuple] = []
+                for i, (m, a, p, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("m", "a", "p", "t")))):
+                    found += [(i, x, key, content, t[x - a : y + length - a]) for x, y, key, content in parts(t, a, p, m, length, width)]
+                row, first, key, content, data = zip(*found) if found else [()] * 5
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(batch.column(c).take(take) for c in ("doc_id", "key", "p")), pa.array(first, pa.int32()), pa.array(content, pa.int64()), pa.array(data, pa.binary())], names=["m", "doc_id", "key", "p", "a", "c", "t"])
+
+        return run
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = _suffix_order(length, first_stays)
+    gather = lambda rows: rows.select("m", "doc_id", "key", "a", "t").repartition(n, "m").sortWithinPartitions("m").mapInArrow(order, "key binary, a int, e int")
+    ordered = gather(cut.where(F.col("kinds") <= many))
+    rest = cut.where(F.col("kinds") > many)
+    for width in WIDTHS:
+        if not rest.limit(1).count():
+            break
+        split = written(rest.mapInArrow(part(width), "m long, doc_id long, key binary, p int, a int, c long, t binary"))
+        same = split.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key")).alias("at"))
+        same = written(same.join(same.groupBy("m").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1"), "m"))
+        again = split.join(same.where("n > 1").select("m", "c", "at"), ["m", "c"])
+        if first_stays:
+            again = again.where("key <> at.key or a <> at.a")
+        ordered = ordered.unionByName(again.select("key", "a", (F.col("a") + F.length("t")).alias("e")))
+        one = split.join(same.where("kinds > 1").select("m", "c", "kinds", "at"), ["m", "c"]).where("key = at.key and a = at.a").select("m", "doc_id", "key", "a", "p", "kinds", "t")
+        ordered = ordered.unionByName(gather(one.where(F.col("kinds") <= many)))
+        rest = one.where(F.col("kinds") > many)
+
+    partly = ordered.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     every = written(whole.unionByName(partly).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     release(spark)
     return every
