@@ -165,3 +165,42 @@ def test_one_of_each_group_stays(spark):
     assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
     ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in got.collect())
     assert ids == [-1, *range(30), 300]
+
+
+def edited(rng, words, kind, part):
+    """A copy of the words with about `part` of their number added, cut or changed."""
+    n = max(1, round(part * len(words)))
+    extra, at = ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(n)], rng.randrange(len(words))
+    if kind == "swapped":
+        out = list(words)
+        for k, w in zip(rng.sample(range(len(out)), max(1, n // 5)), extra):
+            out[k] = w
+        return out
+    return {"appended": words + extra, "prepended": extra + words, "inserted": words[:at] + extra + words[at:], "cut": words[n:]}[kind]
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(t[i : i + k]) for i in range(max(1, len(t) - k + 1))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def near_pairs(seed=11):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    kinds = ("appended", "prepended", "inserted", "cut", "swapped")
+    return [(w, edited(rng, w, kind, rng.uniform(0.03, 0.45))) for kind in kinds for _ in range(60) for w in [[rng.choice(vocabulary) for _ in range(rng.randint(60, 400))]]]
+
+
+def linked_pairs(spark, pairs):
+    """Of texts in pairs (1, 2), (3, 4), ..: whether the second goes as a near copy of the first."""
+    data = [(2 * i + k, " ".join(w)) for i, p in enumerate(pairs) for k, w in enumerate(p)]
+    left = {r.doc_id for r in shingle_copies.one_of_each(spark.createDataFrame(rows(data), DOCS)).collect()}
+    assert left >= {2 * i for i in range(len(pairs))}
+    return [2 * i + 1 not in left for i in range(len(pairs))]
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_all_edited_copies_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_copies, "BLOCK", block)
+    pairs = [p for p in near_pairs() if jaccard(*p) >= 0.8]
+    assert len(pairs) > 100 and all(linked_pairs(spark, pairs))
