@@ -204,3 +204,13 @@ def test_all_edited_copies_are_found(spark, monkeypatch, block):
     monkeypatch.setattr(shingle_copies, "BLOCK", block)
     pairs = [p for p in near_pairs() if jaccard(*p) >= 0.8]
     assert len(pairs) > 100 and all(linked_pairs(spark, pairs))
+
+
+@pytest.mark.parametrize("sample", [128, 1])
+def test_texts_below_the_similarity_stay(spark, monkeypatch, sample):
+    monkeypatch.setattr(shingle_copies, "SAMPLE", sample)  # 1: all texts are looked at for frequent shingles
+    monkeypatch.setattr(shingle_copies, "FREQUENT", 2)
+    pairs = near_pairs(seed=12)
+    similar = [jaccard(*p) >= 0.8 for p in pairs]
+    assert sum(similar) > 100 and sum(0.65 <= jaccard(*p) < 0.8 for p in pairs) > 50
+    assert linked_pairs(spark, pairs) == similar
