@@ -10,16 +10,31 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 #: Days of the 400 years from 1800 on, as a product of two near factors, so a Feistel network over them is exact.
 DAYS_LEFT, DAYS_RIGHT, FIRST_DAY = 189, 773, "1800-01-01"
+#: What may stand beside a number and is none of its groups: IP addresses, dates, expiry dates, times; and hyphened numbers.
+BESIDE = r"(?:\d{1,3}\.){3}\d|\d{4}-\d{2}-\d{2}(?!\d)|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}[/:]\d{2}(?!\d)"
+HYPHENED = r"\d{3}-\d{2}-\d{4}(?![\d-])|\d{3}-\d{3}-\d{4}(?![\d-])"
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+KNOWN = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+#: Groups of four and the rest, as long as the country's are; of other countries, any length up to the next IBAN.
+IBANS = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+IBANS += rf"|(?!{KNOWN})[A-Z]{{2}}\d{{2}}(?: ?(?!(?:{KNOWN})\d{{2}} ?[A-Z0-9]{{4}})[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+#: Card numbers among other groups of digits: the lengths that numbers of such a start have, in groups of three or more but the last.
+CARDS = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|(?:5[06-9]|6\d)\d{11,17})$"
+GROUPS = r"^(?:\d{3,}[ -])*\d+$"
 #: What is looked for, in order of preference where two start at one place. Fixed formats.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    "iban": rf"\b(?:{IBANS})\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d)",
-    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d|\.\d)",
+    "card": rf"(?<![\d.])\d(?:(?:[ -](?!{BESIDE}|{HYPHENED}))?\d){{12,400}}(?!\d|\.\d)",
 }
 ANY = "|".join(PATTERNS.values())
 
@@ -85,14 +100,48 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), add)
 
 
-def _card(m: Column, key: str) -> Column:
-    """The first digit stays, the check digit is made anew, those between are permuted. Without a valid one, as it is."""
+def _made_card(m: Column, key: str) -> Column:
+    """The first digit stays, the check digit is made anew, those between are permuted."""
 
     def made(d: Column) -> Column:
         body = F.concat(F.substring(d, 1, 1), scramble(F.substring(d, F.lit(2), F.length(d) - 2), key, "card"))
         return _let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    return _let(_digits(m), lambda d: F.when((luhn_sum(d) % 10 == 0) & d.rlike("[1-9]"), _refill(m, made(d))).otherwise(m))
+    return _refill(m, _let(_digits(m), made))
+
+
+def _cards_within(m: Column, key: str) -> Column:
+    """m with the card numbers replaced that begin and end at borders of its groups, from the left, the longest first."""
+
+    def within(groups: Column) -> Column:
+        start = lambda i: F.aggregate(F.slice(groups, 1, i), i + 1, lambda n, g: n + F.length(g))
+        part = lambda i, j: F.substring(m, start(i), start(j) + F.length(F.get(groups, j)) - start(i))
+
+        def step(state: Column, i: Column) -> Column:
+            ends = F.sequence(i, F.least(F.size(groups) - 1, i + 6))
+            parts = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), part(i, j).alias("p"))), lambda x: x["p"].rlike(GROUPS) & _digits(x["p"]).rlike(CARDS) & (luhn_sum(_digits(x["p"])) % 10 == 0))
+            before = F.when(i > 0, F.substring(m, start(i) - 1, F.lit(1))).otherwise(F.lit(""))
+            found = lambda x: F.struct(F.concat(state["out"], before, _made_card(x["p"], key)).alias("out"), (x["j"] + 1).alias("next"))
+            other = F.struct(F.concat(state["out"], before, F.get(groups, i)).alias("out"), state["next"].alias("next"))
+            return F.when(i < state["next"], state).otherwise(_let(parts, lambda x: F.when(F.size(x) > 0, found(F.get(x, F.size(x) - 1))).otherwise(other)))
+
+        begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), begin, step, lambda s: s["out"])
+
+    return _let(F.split(m, "[ -]", -1), within)
+
+
+def _card(m: Column, key: str) -> Column:
+    """All digits, if they are 13 to 19 and have a valid check digit, else the card numbers among them. Others stay.
+
+    Where all are valid, but not as long as a card of such a start, a card among them goes first.
+    """
+    valid = lambda d: F.length(d).between(13, 19) & d.rlike("[1-9]") & (luhn_sum(d) % 10 == 0)
+
+    def among(w: Column) -> Column:
+        return F.when((w == m) & _let(_digits(m), valid), _made_card(m, key)).otherwise(w)
+
+    return F.when(_let(_digits(m), lambda d: d.rlike(CARDS) & valid(d)), _made_card(m, key)).otherwise(_let(_cards_within(m, key), among))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -119,7 +168,7 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    """The country stays, the account is permuted, the check digits are made anew. Without valid ones, as it is."""
+    """The country stays, the account is permuted, the check digits are made anew. Without valid ones only cards within go."""
 
     def rest(text: Column) -> Column:
         """What is left of the characters' number after division by 97, letters counting 10 to 35."""
@@ -134,7 +183,7 @@ def _iban(m: Column, key: str) -> Column:
         at = lambda i: F.length(F.replace(F.substring(shape, F.lit(1), i), F.lit(" "), F.lit("")))
         return F.array_join(F.transform(F.sequence(F.lit(1), F.length(shape)), lambda i: F.when(F.substring(shape, i, F.lit(1)) == " ", " ").otherwise(F.substring(s, at(i), F.lit(1)))), "")
 
-    return _let(F.replace(m, F.lit(" "), F.lit("")), lambda s: F.when(rest(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1, fill(m, made(s))).otherwise(m))
+    return _let(F.replace(m, F.lit(" "), F.lit("")), lambda s: F.when(rest(F.concat(F.substring(s, F.lit(5), F.length(s)), F.substring(s, 1, 4))) == 1, fill(m, made(s))).otherwise(_cards_within(m, key)))
 
 
 def _email(m: Column, key: str) -> Column:

@@ -111,6 +111,28 @@ def test_personal_data(spark):
         pii.pseudonymise(docs, "")
 
 
+def test_valid_numbers_beside_other_digits(spark):
+    card, iban = "4111111111111111", "ES91 2100 0418 4502 0005 1332"
+    spaced = "4111 1111 1111 1111"
+    cards = [f"{card} 12/25", f"{spaced} 12/25", f"{spaced} 123", f"42 {card}", f"1234 {spaced}", f"{card} 2024-02-29", f"1 22 333 4444 {spaced} 99 5500-0000-0000-0004 7", f"DE12 {spaced} 99", f"AB12 {spaced}", f"{spaced}/123", "3782 822463 10005 1234", f"{card} 190.137.223.204"]
+    ibans = [f"{iban} BIC", f"{iban} 12", f"AB12 {iban}", "DE89370400440532013000 EUR"]
+    stays = ["4111 1111 1111 1112 12/25", "ES91 2100 0418 4502 0005 1333 BIC", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"]
+    docs = spark.createDataFrame(list(enumerate(["see " + t for t in [card, spaced, iban, *cards, *ibans, *stays, "9" * 5000, "7 " * 3000]])), "doc_id long, text string")
+    new = [r.text[4:] for r in sorted(pii.pseudonymise(docs, "k").collect())]
+    alone, apart, account = new[:3]
+    assert alone != card and apart.replace(" ", "") == alone
+    put = lambda t: t.replace(card, alone).replace(spaced, apart).replace(iban, account)
+    got = dict(zip(cards + ibans, new[3:]))
+    for t in (cards[0], cards[1], cards[2], cards[3], cards[4], cards[7], cards[8], cards[9], ibans[0], ibans[1], ibans[2]):
+        assert got[t] == put(t), t
+    assert got[cards[5]].startswith(alone + " ") and "2024-02-29" not in got[cards[5]]
+    assert apart in got[cards[6]] and "5500-0000-0000-0004" not in got[cards[6]] and got[cards[6]].startswith("1 22 333 4444 ") and got[cards[6]].endswith(" 7")
+    assert luhn(got[cards[10]][:17]) and got[cards[10]] != cards[10] and got[cards[10]].endswith(" 1234")
+    assert got[cards[11]].startswith(alone + " ") and "223.204" not in got[cards[11]]
+    assert "0532013000" not in got[ibans[3]] and got[ibans[3]].endswith(" EUR")
+    assert new[-5:] == [*stays, "9" * 5000, "7 " * 3000]
+
+
 def test_resampling(spark):
     rng = random.Random(2)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
