@@ -13,6 +13,11 @@ DAYS_LEFT, DAYS_RIGHT, FIRST_DAY = 189, 773, "1800-01-01"
 #: What may stand beside a number and is none of its groups: IP addresses, dates, expiry dates, times; and hyphened numbers.
 BESIDE = r"(?:\d{1,3}\.){3}\d|\d{4}-\d{2}-\d{2}(?!\d)|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}[/:]\d{2}(?!\d)"
 HYPHENED = r"\d{3}-\d{2}-\d{4}(?![\d-])|\d{3}-\d{3}-\d{4}(?![\d-])"
+#: Groups of a phone number after its area code: under one sign where that goes, none the start of what may stand beside; 15 digits at most.
+AREA = r"[ .-]?(?:\(\d{2,4}\)|\d{2,4})"
+ONE_STYLE = rf"(?:(?: (?!{BESIDE}|{HYPHENED})\d{{2,4}}){{2,4}}|(?:-(?!{BESIDE})\d{{2,4}}){{2,4}}|(?:\.\d{{2,4}}){{2,4}}|\d{{4,16}})"
+ANY_STYLE = rf"(?:(?: (?!{BESIDE}|{HYPHENED})|-(?!{BESIDE})|\.)?\d{{2,4}}){{2,4}}"
+NO_LONGER = r"(?<!\+" + r"[ ().-]{0,2}\d" * 16 + r"[ ().\d-]{0,14})"
 #: Countries by the length of their IBANs.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
@@ -33,7 +38,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<!\d)(?:\(\d{3}\) ?|\d{3}-)\d{3}-\d{4}(?!\d)",
+    "phone": rf"\+1{AREA}[ .-]?\d{{3}}[ .-]?\d{{4}}(?![.-]?\d)|\+\d{{1,3}}{AREA}(?:{ONE_STYLE}(?![.-]\d)|{ANY_STYLE})(?!\d){NO_LONGER}|(?<!\d)(?:\(\d{{3}}\) ?|\d{{3}}-)\d{{3}}-\d{{4}}(?!\d)",
     "card": rf"(?<![\d.])\d(?:(?:[ -](?!{BESIDE}|{HYPHENED}))?\d){{12,400}}(?!\d|\.\d)",
 }
 ANY = "|".join(PATTERNS.values())

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -133,6 +134,17 @@ def test_valid_numbers_beside_other_digits(spark):
     assert new[-5:] == [*stays, "9" * 5000, "7 " * 3000]
 
 
+def test_phones_do_not_take_in_what_stands_beside(spark):
+    phones = ["+1 (826) 555-4081", "+1 826 555 4081", "+44 20 7946 0958", "+49 (30) 1234-5678", "+33.612.34.56.78", "+442079460958", "+44-20-7946-0958", "+49 30 123 456-78"]
+    beside = ["190.137.223.204", "10.2.3.4", "2024-02-29", "29/02/2024", "29.02.2024", "4111 1111 1111 1111", "123-45-6789", "12/25", "12:30"]
+    texts = phones + beside + [f"{p} {b}" for p in phones for b in beside]
+    docs = spark.createDataFrame(list(enumerate("tel " + t for t in texts)), "doc_id long, text string")
+    new = dict(zip(texts, (r.text[4:] for r in sorted(pii.pseudonymise(docs, "k").collect()))))
+    assert all(new[p] != p and re.sub(r"\d", "0", new[p]) == re.sub(r"\d", "0", p) for p in phones)
+    assert all(new[b] != b for b in beside[:-2])
+    assert {t: v for t, v in new.items() if t not in phones + beside} == {f"{p} {b}": f"{new[p]} {new[b]}" for p in phones for b in beside}
+
+
 def test_resampling(spark):
     rng = random.Random(2)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
