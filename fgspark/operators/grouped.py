@@ -120,13 +120,15 @@ def divergence(energy_p: DataFrame, log_z_p: DataFrame, energy_q: DataFrame, log
 def energy_statistic(p: DataFrame, q: DataFrame) -> DataFrame:
     """graph_id, statistic: 2 E|p - q| - E|p - p'| - E|q - q'| of two sample sets, the distance the root of the Hamming distance.
 
-    Samples of a graph are packed to a row each, so the compared pairs are of samples, which are chosen in number.
+    Equal samples of a graph are counted first; only distinct ones are paired, and weigh as often as they occur.
     """
-    pack = lambda s, n: s.groupBy("graph_id", F.col("sample_id").alias(f"i{n}")).agg(F.transform(F.sort_array(F.collect_list(F.struct("var_id", "state"))), lambda x: x["state"]).alias(f"x{n}"))
+    pack = lambda s: s.groupBy("graph_id", "sample_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("var_id", "state"))), lambda x: x["state"]).alias("x"))
+    count = lambda s, n: pack(s).groupBy("graph_id", F.col("x").alias(f"x{n}")).agg(F.count("*").cast("double").alias(f"n{n}"))
 
     def mean(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
-        pairs = pack(a, 1).join(pack(b, 2), "graph_id")
+        pairs = count(a, 1).join(count(b, 2), "graph_id")
         unequal = F.aggregate(F.zip_with("x1", "x2", lambda u, v: (u != v).cast("int")), F.lit(0), lambda s, x: s + x)
-        return pairs.groupBy("graph_id").agg(F.avg(F.sqrt(unequal.cast("double"))).alias(name))
+        weighed = pairs.select("graph_id", (F.col("n1") * F.col("n2")).alias("n"), F.sqrt(unequal.cast("double")).alias("d")).where("d IS NOT NULL")
+        return weighed.groupBy("graph_id").agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias(name))
 
     return mean(p, q, "pq").join(mean(p, p, "pp"), "graph_id").join(mean(q, q, "qq"), "graph_id").select("graph_id", (2 * F.col("pq") - F.col("pp") - F.col("qq")).alias("statistic"))

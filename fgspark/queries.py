@@ -245,6 +245,12 @@ def dv_energy_statistic_labels(spark: SparkSession, d: str) -> DataFrame:
     return _six(G.energy_statistic(rows.where("sample_id % 2 = 0"), rows.where("sample_id % 2 = 1")).select("statistic"), "statistic")
 
 
+def dv_energy_statistic_all_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Energy statistic of the (quality, toxic) rows of all even and all odd documents."""
+    rows = P.table(spark, d, "labels").select(F.lit(0).cast("bigint").alias("graph_id"), F.col("doc_id").alias("sample_id"), F.posexplode(F.array("quality", "toxic")).alias("var_id", "state"))
+    return _six(G.energy_statistic(rows.where("sample_id % 2 = 0"), rows.where("sample_id % 2 <> 0")).select("statistic"), "statistic")
+
+
 def io_fge_lines(spark: SparkSession, d: str) -> DataFrame:
     from .sources.fge import lines
 
@@ -335,6 +341,7 @@ ORACLE_SQL = {
     "ln_statistics_events": f"WITH {_EVENTS} SELECT count(*) AS n_variables, round(count(*) * log2(5), 6) + 0.0 AS log2_states, CAST(2 * count(*) - count(DISTINCT user_id) AS BIGINT) AS n_factors, count(*) AS n_data, CAST(30 AS BIGINT) AS n_parameters FROM chains",
     "dv_kl_orders": f"WITH {_ORDERS}, z AS (SELECT max(-e3) + ln(sum(exp(-e3 - (SELECT max(-e3) FROM joint)))) AS z3, max(-e2) + ln(sum(exp(-e2 - (SELECT max(-e2) FROM joint)))) AS z2 FROM joint) SELECT round(sum(exp(-e2 - z2) * (e3 - e2)) + any_value(z3) - any_value(z2), 6) + 0.0 AS kl FROM joint, z",
     "dv_energy_statistic_labels": "WITH r AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id < 200), p AS (SELECT * FROM r WHERE doc_id % 2 = 0), q AS (SELECT * FROM r WHERE doc_id % 2 = 1), pq AS (SELECT avg(sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) AS m FROM p, q), pp AS (SELECT avg(sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) AS m FROM p, p q), qq AS (SELECT avg(sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) AS m FROM q p, q) SELECT round(2 * pq.m - pp.m - qq.m, 6) + 0.0 AS statistic FROM pq, pp, qq",
+    "dv_energy_statistic_all_labels": "WITH p AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels WHERE doc_id % 2 = 0 GROUP BY ALL), q AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels WHERE doc_id % 2 <> 0 GROUP BY ALL), pq AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM p, q), pp AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM p, p q), qq AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM q p, q) SELECT round(2 * pq.m - pp.m - qq.m, 6) + 0.0 AS statistic FROM pq, pp, qq",
 }
 ORACLE_SQL["in_tree_events_grouped"] = ORACLE_SQL["in_tree_events"]
 
@@ -344,7 +351,7 @@ QUERIES = {
         sc_index_lineitem, fm_count_energies, sc_log_sum_exp, in_exact_marginals, in_exact_map, in_bp_chain, in_tree_events, in_tree_events_grouped, in_map_events, ev_labeling_events,
         ev_expected_orders, ev_sites_events, lk_pseudo_events, fm_linear_embeddings, fm_tied_embeddings, fm_rbf_embeddings, bm_observed_embeddings, lk_softmax_embeddings, co_states_orders,
         co_beliefs_orders, st_adjacency_orders, st_components_geography, st_shape_geography, io_ising, sc_total_correlation_labels, cube_labels, ls_hamming_events, ln_statistics_events,
-        dv_kl_orders, dv_energy_statistic_labels, io_fge_lines,
+        dv_kl_orders, dv_energy_statistic_labels, dv_energy_statistic_all_labels, io_fge_lines,
     )
 }
 QUERIES |= {

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,15 @@ def test_validator(spark):
     factor = spark.createDataFrame([(0, 0, "a", [0, 1], [float("nan")], None, None), (0, 1, "b", [0], [2e4], None, None), (0, 2, "a", [0], [1.0], None, None), (0, 3, "a", [0, 9], [1.0], None, None)], schema.FACTOR)
     got = {(r.factor_id, r.var_id, r.problem) for r in E.violations(factor, variable, types).collect()}
     assert got == {(0, None, "data not finite"), (1, None, "data very large"), (1, None, "unknown type"), (2, None, "number of variables"), (0, 1, "cardinality"), (3, 9, "unknown variable"), (None, 2, "isolated variable")}
+
+
+def test_energy_statistic_pairs_distinct_samples_only(spark):
+    """2000 samples of 4 kinds on each side: as by all pairs, with no more than 16 pairs a mean."""
+    rng = np.random.default_rng(8)
+    p, q = (rng.choice(2, size=(2000, 2), p=w) for w in ([0.7, 0.3], [0.4, 0.6]))
+    frame = lambda x: spark.createDataFrame([(0, i, v, int(s)) for i, r in enumerate(x) for v, s in enumerate(r)], "graph_id long, sample_id long, var_id int, state int").repartition(2)
+    mean = lambda a, b: np.sqrt((a[:, None] != b[None]).sum(axis=2)).mean()
+    found = G.energy_statistic(frame(p), frame(q))
+    assert found.first().statistic == pytest.approx(2 * mean(p, q) - mean(p, p) - mean(q, q), abs=1e-9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("count(1)") == 6  # both sides of the three means are counted before they are paired
