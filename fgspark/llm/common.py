@@ -1,7 +1,9 @@
-"""What the operators of this subpackage share: checkpoints, batches of bytes and a scan of 2-state chains."""
+"""What the operators of this subpackage share: intermediate tables, blocks of large groups, batches of bytes, a scan of 2-state chains."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -9,38 +11,77 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A session setting: shuffle files go at the end of the query that made them, not at some later collection.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of checkpoints: spark.checkpoint.dir of the session; only where that is unset (tests on one machine) a
-    temporary folder of this machine."""
+    """The folder of checkpoints: spark.checkpoint.dir of the session. Where that is unset, a temporary folder if driver
+    and executors are one process (tests), else an error: executors of a cluster share no local folder."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fgspark-checkpoint-"))
     return context.getCheckpointDir().get()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared checkpoint folder, so that a lost executor costs no earlier stage."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files behind; what they write must be all that is needed of them."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
 
+def written(df: DataFrame, *, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The rows of df as a compressed table in the shared checkpoint folder, so that a lost executor costs no earlier stage.
 
-def written(df: DataFrame) -> DataFrame:
-    """As cut_lineage(), but as compressed columns in a table of the same shared folder; for rows of texts and hashes."""
+    instead_of: tables that written() gave and that nothing but df needed; their files are deleted.
+    """
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/table-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    with shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(folder)
+    forget(*instead_of)
+    found = spark.read.schema(df.schema).parquet(folder)
+    found.written_to = folder
+    return found
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the shuffle files of frames that nothing refers to any more go at once instead of at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() gave."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_blocks(grouped: DataFrame, block: int, weight: str | None = None, heavy: int = 1) -> DataFrame:
+    """grouped: bucket, node (and weight), each pair once. (bucket, x, y, side, node): cells in which all pairs of a bucket meet.
+
+    A bucket of up to `block` nodes (whose weights add up to `heavy` at most) is one cell, all of side 0. A larger one is
+    dealt into blocks of about half of that, and each two blocks are a cell, their nodes on sides 0 and 1; a block meets
+    itself in a cell without a side 1. Buckets of one node are left out.
+    """
+    sums = [F.count("*").alias("n"), *([F.sum(weight).alias("heavy")] if weight else [])]
+    sizes = grouped.groupBy("bucket").agg(*sums).where("n > 1")
+    full = grouped.select("bucket", "node").join(sizes, "bucket")
+    fits, blocks = F.col("n") <= block, F.ceil(F.col("n") / (block // 2))
+    if weight:
+        fits, blocks = fits & (F.col("heavy") <= heavy), F.greatest(blocks, F.ceil(F.col("heavy") / F.lit(max(1, heavy // 2))))
+    zero = F.lit(0)
+    small = full.where(fits).select("bucket", zero.alias("x"), zero.alias("y"), zero.alias("side"), "node")
+    large = full.where(~fits).withColumn("k", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(zero, F.col("k") - 1)))
+    return small.unionByName(large.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,14 +95,21 @@ def utf8(column: str) -> Column:
 
 def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """The binary column in runs of rows of about `most` bytes (one row at least): (first row, values)."""
-    values, first, size = batch.column(column).to_pylist(), 0, 0
-    for i, v in enumerate(values):
-        size += len(v) + 1
-        if size >= most:
-            yield first, values[first : i + 1]
-            first, size = i + 1, 0
-    if first < len(values):
-        yield first, values[first:]
+    values = batch.column(column)
+    ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first, before = 0, 0
+    while first < len(values):
+        last = min(int(np.searchsorted(ends, before + most)), len(values) - 1)
+        yield first, values.slice(first, last + 1 - first).to_pylist()
+        first, before = last + 1, int(ends[last])
+
+
+def settle() -> None:
+    """Gives what a Python worker has freed back to the system; workers are kept between tasks and add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def moebius_scan(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, width: int = 128) -> np.ndarray:

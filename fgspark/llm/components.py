@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import forget, settle, written
 
 #: Links that one union-find holds at a time.
 FOREST_LINKS = 500_000
@@ -50,6 +50,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = [], []
     if a:
         yield out()
+    settle()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -58,12 +59,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     Returns (node, component): every node that reaches a smaller one, and the smallest node it reaches. Each task
     first replaces its links by stars of the same reach. Then stars alternate (large: a node's greater neighbours move
     to its smallest one; small: its smaller neighbours do) until nothing changes, a logarithmic number of rounds. A
-    round is joins and sums by key over links alone and ends in a checkpoint; a hub with many links is summed before
-    the shuffle, and the joins' skewed partitions can be split.
+    round is joins and sums by key over links alone and ends in a table, which takes the place of the last one; a hub
+    with many links is summed before the shuffle, and the joins' skewed partitions can be split. forget() takes what is
+    returned.
     """
     a, b = links.columns
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    edges = cut_lineage(pairs.mapInArrow(_forests, "u long, v long").distinct())
+    edges = written(pairs.mapInArrow(_forests, "u long, v long").distinct())
     seen = None
     for _ in range(most_rounds):
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -75,7 +77,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.unionByName(down.withColumnRenamed("m", "v")).distinct())
+        edges = written(small.unionByName(down.withColumnRenamed("m", "v")).distinct(), instead_of=(edges,))
     else:
+        forget(edges)
         raise RuntimeError(f"links still change after {most_rounds} rounds")
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    found = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    found.written_to = edges.written_to
+    return found

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 from .components import components, forest
 
 #: Vectors of a cell that are compared in one block, and the most pivots.
@@ -72,7 +72,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.when(F.coalesce(finite & (F.size(v) > 0), F.lit(False)), v).alias("v"))
     valid = F.col("v").isNotNull() & F.col("label").isNotNull()
     points = rows.where(valid).groupBy("label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    points = cut_lineage(points.withColumn("node", F.monotonically_increasing_id()))
+    points = written(points.withColumn("node", F.monotonically_increasing_id()))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,7 +127,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     ).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.struct(F.xxhash64(F.lit(1), "group", "cell", o, own).alias("task"), F.lit(1).alias("role"))))
     tasks = full.withColumn("m", F.explode(meets)).select("m.task", "m.role", "node", "copies", "x")
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_lineage(tasks.repartition(parts, "task").sortWithinPartitions("task", "role").mapInArrow(_compare(threshold), "node long, other long, links long"))
+    found = written(tasks.repartition(parts, "task").sortWithinPartitions("task", "role").mapInArrow(_compare(threshold), "node long, other long, links long"))
 
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.where("other is not null").select("node", "other"))

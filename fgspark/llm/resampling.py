@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import written
 
 BUCKETS = 10_000
 #: Labelled documents of good quality that the target model is made from, at most (the first by a hash of the id).
@@ -106,7 +106,7 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int =
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = cut_lineage(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
+    keyed = written(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
     k = int(share * keyed.count())
     limit = kth_largest(keyed, "key", k)
     if limit is None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import random
 from collections.abc import Iterator
 from itertools import accumulate
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, pieces, utf8
+from .common import forget, in_blocks, pieces, utf8, written
 from .components import components, forest
 
 HASH_SEED = 42
@@ -75,7 +74,7 @@ def links_within(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 def _block_forests(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows arrive sorted by (cell, side): a cell is a bucket or two blocks of a large one. A cell gives a forest."""
+        """Rows arrive sorted by (bucket, x, y, side): a cell is a bucket or two blocks of a large one. A cell gives a forest."""
         cell, sides = None, ([], [])
 
         def out() -> list[tuple[int, int]]:
@@ -93,7 +92,7 @@ def _block_forests(radius: int):
 
         stars: list[tuple[int, int]] = []
         for batch in batches:
-            for c, side, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for *c, side, fp in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if c != cell:
                     stars += out()
                     cell, sides = c, ([], [])
@@ -117,17 +116,9 @@ def near_links(points: DataFrame, radius: int) -> DataFrame:
     masks = covering_masks(radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
-    dealt = points.select("fp", F.explode(keys).alias("bucket"))
-    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    full = dealt.join(sizes, "bucket")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int")
-    small = full.where(F.col("n") <= BLOCK).select(F.xxhash64("bucket").alias("cell"), F.lit(0).alias("side"), "fp")
-    large = full.where(F.col("n") > BLOCK).select("bucket", "fp", blocks.alias("k"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("own"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    large = large.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
-    cells = small.unionByName(large)
+    cells = in_blocks(points.select(F.col("fp").alias("node"), F.explode(keys).alias("bucket")), BLOCK).select("bucket", "x", "y", "side", "node")
     n = cells.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return cells.repartition(int(n), "cell").sortWithinPartitions("cell", "side").mapInArrow(_block_forests(radius), "a long, b long").distinct()
+    return cells.repartition(int(n), "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side").mapInArrow(_block_forests(radius), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,16 +129,10 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
     by its fingerprint like others but gives none (null if no other id is there). Repeated rows stay. An empty table
     gives none. Other columns are not read.
     """
-    marked = cut_lineage(fingerprints(docs, words, id_col, text_col))
+    marked = written(fingerprints(docs, words, id_col, text_col))
     points = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     reached = components(near_links(points.select("fp"), radius))
-    classes = cut_lineage(points.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = written(points.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), instead_of=(reached,))
+    least = written(classes.groupBy("root").agg(F.min("first").alias("component_id")))  # so that the join can split a large component
     named = classes.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def collision_chance(similarity: float, radius: int, bits: int = 64) -> float:
-    """How likely two texts of this cosine similarity have fingerprints at most radius bits apart."""
-    p = math.acos(similarity) / math.pi
-    return sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release, utf8, written
+from .common import pieces, utf8, written
 
 LENGTH = 200
 GRAM = 16
@@ -231,7 +231,6 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
     else:
         shared = shared.withColumn("doc_id", F.lit(0).cast("long"))
     contents = written(shared.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key", "b", "p")).alias("at")))
-    release(spark)
     copied = shared.join(contents.where("n > 1").select("m", "c", F.col("at.key").alias("first_key"), F.col("at.a").alias("first_a")), ["m", "c"])
     if first_stays:
         copied = copied.where("key <> first_key or a <> first_a")
@@ -243,7 +242,6 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
     sources = docs.select("key", "t", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"))
     found = sources.join(asked, ["key", "doc_id"]).withColumn("r", F.explode("asked"))
     cut = written(found.select("r.m", "doc_id", "key", "r.a", "r.p", "r.kinds", F.expr(f"substring(t, r.a + 1, r.b - r.a + {length})").alias("t")))
-    release(spark)
 
     def part(width: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +276,6 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
 
     partly = ordered.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     every = written(whole.unionByName(partly).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    release(spark)
     return every
 
 
