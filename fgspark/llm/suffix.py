@@ -6,9 +6,9 @@ their minimizer's hash, so equal windows meet. Then, in growing order of cost:
 
 1. A minimizer that occurs once has no repeated window: a count by key.
 2. Regions of the same minimizer and content are repeated as a whole: another count, copies cost one row.
-3. What differs under one minimizer is put in suffix order, many minimizers at a time. Cut at `length` bytes and with
-   ties in order of position, the previous smaller position of a suffix is its neighbour in this order, and the longest
-   previous factor reaches `length` where the neighbour agrees on `length` bytes.
+3. What differs under one minimizer is put in suffix order, many minimizers at a time. The previous and the next smaller
+   position on this order give the two longest earlier matches of a window, and the greater of their common prefixes is
+   its longest previous factor; where that is all of the window, it is a later copy, and the match a copy that has one.
 4. A minimizer with very many different regions isn't gathered. Its windows are parted by their distance from the
    minimizer, in classes of ever fewer windows; windows of a class share bytes around the minimizer, so parts are dealt
    by those, and steps 1 to 3 hold for them. A row becomes a few parts at each of the levels, the last of one window.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8, written
+from .common import forget, pieces, settle, utf8, written
 
 LENGTH = 200
 GRAM = 16
@@ -33,31 +33,55 @@ GRAM = 16
 MANY = 2048
 WIDTHS = (48, 12, 3, 1)
 #: Bytes that are put in suffix order at once.
-ORDERED = 1 << 20
+ORDERED = 1 << 19
+#: Bytes of a text that are cut into regions at once; windows across the border belong to the part before it.
+PART = 1 << 26
+#: Rounds in which all positions look for a smaller one together; the few that need more go one by one.
+ROUNDS = 48
 _POSITION = np.uint64((1 << 28) - 1)
 
 
-def longest_previous(data: bytes) -> list[int]:
-    """For each position the length of the longest string that starts there and also at a smaller position.
+def nearest_smaller(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place r of the suffix order: the nearest place before it with a smaller position (-1: none), and the common
+    prefix with that one, the least of common[] on the way. A way on which nothing is common any more ends as none.
 
-    Positions in suffix order; the previous and the next smaller position on this order give the two longest earlier
-    matches, and their common prefixes follow from those of neighbours.
+    Places whose candidate is greater take over that one's candidate: what lies between is greater still.
     """
-    n = len(data)
-    order = sorted(range(n), key=lambda i: data[i:])
-    common = [0] * (n + 1)
-    for r in range(1, n):
-        a, b = data[order[r - 1] :], data[order[r] :]
-        common[r] = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    out, stack = [0] * n, []
-    for r in range(n + 1):
-        least, here = common[r] if r < n else 0, order[r] if r < n else -1
-        while stack and stack[-1][0] > here:
-            position, before = stack.pop()
-            out[position] = max(before, least)
-            least = min(before, least)
-        stack.append((here, least))
-    return out
+    near, least = np.arange(-1, len(order) - 1), common.copy()
+    active = np.arange(len(order))
+    for _ in range(ROUNDS):
+        at = near[active]
+        more = (at >= 0) & (least[active] > 0)
+        more[more] = order[at[more]] > order[active[more]]
+        active = active[more]
+        if not len(active):
+            break
+        at = at[more]
+        further, low = near[at], np.minimum(least[active], least[at])
+        near[active], least[active] = further, low
+    for r in active.tolist():  # from left to right, so that each finds those before it done
+        while near[r] >= 0 and least[r] > 0 and order[near[r]] > order[r]:
+            least[r], near[r] = min(least[r], least[near[r]]), near[near[r]]
+    none = (near < 0) | (least == 0)
+    near[none], least[none] = -1, 0
+    return near, least
+
+
+def longest_previous(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """order: positions 0 .. n - 1 in suffix order; common[r]: the common prefix of order[r - 1] and order[r], common[0] 0.
+
+    Returns by position the longest previous factor (the length of the longest string that starts there and also at a
+    smaller position) and the smaller position (-1 where the length is 0).
+    """
+    n = len(order)
+    before, left = nearest_smaller(order, common)
+    after, right = nearest_smaller(order[::-1], np.append(common[1:], 0)[::-1] if n else common)
+    after, right = np.where(after < 0, -1, n - 1 - after)[::-1], right[::-1]
+    source = np.where(left >= right, before, after)
+    length, place = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    length[order] = np.maximum(left, right)
+    place[order] = np.where(source < 0, -1, order[source])
+    return length, place
 
 
 def grams(buffer: np.ndarray) -> np.ndarray:
@@ -86,7 +110,7 @@ def regions(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
     if not (sizes >= length).any():
         return none
     if len(joined) > _POSITION:
-        raise ValueError("a text of more than 268 million bytes")
+        raise ValueError("more than 268 million bytes at once")
     hashes = grams(np.frombuffer(joined, dtype=np.uint8))
     width, n = length - GRAM + 1, len(hashes)
     keyed = (hashes & ~_POSITION) | np.arange(n, dtype=np.uint64)
@@ -132,20 +156,46 @@ def parts(data: bytes, a: int, anchor: int, m: int, length: int, width: int) ->
     return out
 
 
-def ranks(buffer: np.ndarray, length: int) -> np.ndarray:
-    """For each position with `length` bytes from it on, its rank among all strings of that length, equal for equal ones.
+def ranks(buffer: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(h, rank of each position with h bytes from it on among all strings of h bytes) for h = 8, 16, 32, .. and `length`.
 
     Prefix doubling: the rank of 2h bytes is that of the ranks of the first and the second h bytes.
     """
     n, h = len(buffer), 8
-    raw = np.ascontiguousarray(buffer)
-    rank = np.unique(np.ndarray((n - 7,), dtype=">u8", buffer=raw, strides=(1,)).astype(np.uint64), return_inverse=True)[1]
+    words = np.ndarray((n - 7,), dtype=">u8", buffer=np.ascontiguousarray(buffer), strides=(1,)).astype(np.uint64)
+    rank = np.unique(words, return_inverse=True)[1]
+    found = [(h, rank.astype(np.int32))]
     while h < length:
         step = min(h, length - h)
         m = n - h - step + 1
         rank = np.unique(rank[:m] * np.int64(n + 1) + rank[step : step + m], return_inverse=True)[1]
         h += step
-    return rank
+        found.append((h, rank.astype(np.int32)))
+    return found
+
+
+def suffix_order(buffer: np.ndarray, where: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the strings of `length` bytes at `where` (rising) in order, of equal ones the earlier first, and
+    how many bytes each has in common with the one before it."""
+    levels = ranks(buffer, length)
+    own = levels[-1][1][where].astype(np.int64)
+    order = np.argsort(own * np.int64(len(where)) + np.arange(len(where)))
+    a, b = where[order[:-1]], where[order[1:]]
+    same = own[order[:-1]] == own[order[1:]]
+    common = np.zeros(len(where), dtype=np.int64)
+    common[1:][same] = length
+    i = np.flatnonzero(~same)
+    a, b, k = a[i], b[i], np.zeros(len(i), dtype=np.int64)
+    for h, rank in reversed(levels[:-1] if len(levels) > 1 else []):
+        fits = k + h <= length
+        x, y = np.minimum(a + k, len(rank) - 1), np.minimum(b + k, len(rank) - 1)
+        k += h * (fits & (rank[x] == rank[y]))
+    padded = np.concatenate([buffer, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray((len(buffer) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    differ = words[a + k] ^ words[b + k]
+    lowest = differ & (~differ + np.uint64(1))  # the first byte that differs holds the lowest bit
+    common[1:][i] = np.minimum(k + (np.bitwise_count(lowest - np.uint64(1)) >> 3), length - 1)
+    return order, common
 
 
 def repeated_starts(texts: list[bytes], order: list[tuple], length: int, first_stays: bool) -> list[np.ndarray]:
@@ -158,17 +208,14 @@ def repeated_starts(texts: list[bytes], order: list[tuple], length: int, first_s
     sizes = np.array([len(texts[i]) for i in turn])
     ends = np.cumsum(sizes)
     where = np.concatenate([np.arange(e - n, e - length + 1) for e, n in zip(ends, sizes)])
-    rank = ranks(joined, length)[where]
-    suffixes = np.argsort(rank, kind="stable")  # ties in order of position
-    same = rank[suffixes[1:]] == rank[suffixes[:-1]]
-    before = np.zeros(len(where), dtype=bool)
-    before[suffixes[1:]] = same  # the previous smaller position agrees on `length` bytes
+    factor, earlier = longest_previous(*suffix_order(joined, where, length))
+    flags = factor >= length
     if not first_stays:
-        before[suffixes[:-1]] |= same
+        flags[earlier[flags]] = True
     out: list[np.ndarray] = [np.zeros(0, dtype=bool)] * len(texts)
     at = 0
     for i, n in zip(turn, (sizes - length + 1).tolist()):
-        out[i] = before[at : at + n]
+        out[i] = flags[at : at + n]
         at += n
     return out
 
@@ -204,6 +251,16 @@ def _to_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
+def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(row, offset, texts) of the column t; a very long text comes in parts that overlap by less than a window."""
+    for at, texts in pieces(batch, "t"):
+        if len(texts) > 1 or len(texts[0]) <= PART:
+            yield at, 0, texts
+            continue
+        for shift in range(0, len(texts[0]) - length + 1, PART):
+            yield at, shift, [texts[0][shift : shift + PART + length - 1]]
+
+
 def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int = MANY) -> DataFrame:
     """docs: doc_id long, key binary (a hash of the text), t binary. Returns (key, spans): the repeated byte ranges of each text.
 
@@ -216,20 +273,23 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in pieces(batch, "t"):
+            for at, shift, texts in _parts(batch, length):
                 text, a, b, p, m, c = regions(texts, length)
+                a, b, p = a + shift, b + shift, p + shift
                 key = batch.column("key").slice(at, len(texts)).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([key, pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(p.astype(np.int32)), pa.array(m), pa.array(c)], names=["key", "a", "b", "p", "m", "c"])
+        settle()
 
     region_rows = written(docs.select("key", "t").mapInArrow(find, "key binary, a int, b int, p int, m long, c long"))
     often = written(region_rows.groupBy("m").agg(F.count("*").alias("n")).where("n > 1").select("m"))  # so that the join can split a large partition
-    shared = written(region_rows.join(often, "m"))
+    shared = written(region_rows.join(often, "m"), instead_of=(region_rows, often))
     # the first document of each text
     owner = docs.groupBy("key").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"))
     if first_stays:
-        shared = written(shared.join(owner, "key"))
+        shared = written(shared.join(owner, "key"), instead_of=(shared,))
+        own = shared
     else:
-        shared = shared.withColumn("doc_id", F.lit(0).cast("long"))
+        own, shared = shared, shared.withColumn("doc_id", F.lit(0).cast("long"))
     contents = written(shared.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key", "b", "p")).alias("at")))
     copied = shared.join(contents.where("n > 1").select("m", "c", F.col("at.key").alias("first_key"), F.col("at.a").alias("first_a")), ["m", "c"])
     if first_stays:
@@ -255,6 +315,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
 
         return run
 
+    done = [own, contents, whole, cut]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _suffix_order(length, first_stays)
     gather = lambda rows: rows.select("m", "doc_id", "key", "a", "t").repartition(n, "m").sortWithinPartitions("m").mapInArrow(order, "key binary, a int, e int")
@@ -266,6 +327,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
         split = written(rest.mapInArrow(part(width), "m long, doc_id long, key binary, p int, a int, c long, t binary"))
         same = split.groupBy("m", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "a", "key")).alias("at"))
         same = written(same.join(same.groupBy("m").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1"), "m"))
+        done += [split, same]
         again = split.join(same.where("n > 1").select("m", "c", "at"), ["m", "c"])
         if first_stays:
             again = again.where("key <> at.key or a <> at.a")
@@ -276,6 +338,7 @@ def spans(docs: DataFrame, length: int = LENGTH, keep: str = "none", many: int =
 
     partly = ordered.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
     every = written(whole.unionByName(partly).groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    forget(*done)
     return every
 
 
@@ -299,6 +362,8 @@ def _suffix_order(length: int, first_stays: bool):
                 size += len(row[4])
         if rows:
             yield out()
+            rows.clear()
+        settle()
 
     return run
 

@@ -136,12 +136,47 @@ def test_repeated_strings_against_all_windows(spark, keep, many, monkeypatch):
     assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == brute_repeats(data, 60, keep)
 
 
-def test_longest_previous():
+@pytest.mark.parametrize("rounds", [48, 0])
+def test_longest_previous(monkeypatch, rounds):
+    monkeypatch.setattr(suffix, "ROUNDS", rounds)
     rng = random.Random(5)
-    for _ in range(150):
-        d = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 14)))
-        want = [max([0] + [next((k for k in range(len(d)) if i + k >= len(d) or d[i + k] != d[j + k]), len(d)) for j in range(i)]) for i in range(len(d))]
-        assert suffix.longest_previous(d) == want
+    for _ in range(200):
+        d = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 18)))
+        order = sorted(range(len(d)), key=lambda i: d[i:])
+        agree = lambda i, j: next((k for k in range(len(d)) if max(i, j) + k >= len(d) or d[i + k] != d[j + k]), len(d))
+        common = [0] + [agree(i, j) for i, j in zip(order, order[1:])]
+        length, source = suffix.longest_previous(np.array(order, dtype=np.int64), np.array(common[: len(d)], dtype=np.int64))
+        assert length.tolist() == [max([0] + [agree(i, j) for j in range(i)]) for i in range(len(d))]
+        assert all((s == -1) if n == 0 else (s < i and agree(i, s) == n) for i, (n, s) in enumerate(zip(length.tolist(), source.tolist())))
+
+
+@pytest.mark.parametrize("length", [16, 60, 200])
+def test_suffix_order(length):
+    rng = random.Random(6)
+    for _ in range(20):
+        part = bytes(rng.choice(b"ab\x00\xff") for _ in range(70))
+        d = b"".join(rng.choice([part, part[:40], bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randint(1, 30)))]) for _ in range(12)) + b"z" * length
+        where = np.arange(len(d) - length + 1)
+        order, common = suffix.suffix_order(np.frombuffer(d, dtype=np.uint8), where, length)
+        cut = [d[i : i + length] for i in where]
+        assert order.tolist() == sorted(where.tolist(), key=lambda i: (cut[i], i))
+        assert common.tolist() == [0] + [next((k for k in range(length) if cut[i][k] != cut[j][k]), length) for i, j in zip(order, order[1:])]
+
+
+def test_texts_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdef") for _ in range(900))
+    texts = [passage + "x" * 50 + passage[100:700], "y" + passage[300:], "short"]
+    whole = [suffix.regions([t.encode()], 200) for t in texts]
+    monkeypatch.setattr(suffix, "PART", 333)
+    rows = suffix.pa.RecordBatch.from_pydict({"t": [t.encode() for t in texts]})
+    found = {0: set(), 1: set(), 2: set()}
+    monkeypatch.setattr(suffix, "pieces", lambda batch, c: ((i, [t]) for i, t in enumerate(batch.column(c).to_pylist())))
+    for at, shift, part in suffix._parts(rows, 200):
+        _, a, b, p, m, _ = suffix.regions(part, 200)
+        found[at] |= {(w + shift, q + shift, h) for x, y, q, h in zip(a.tolist(), b.tolist(), p.tolist(), m.tolist()) for w in range(x, y + 1)}
+    for i, (_, a, b, p, m, _) in enumerate(whole):
+        assert found[i] == {(w, q, h) for x, y, q, h in zip(a.tolist(), b.tolist(), p.tolist(), m.tolist()) for w in range(x, y + 1)}
 
 
 def test_later_copies_are_cut_at_characters(spark):
