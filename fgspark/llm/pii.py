@@ -30,9 +30,11 @@ IBANS += rf"|(?!{KNOWN})[A-Z]{{2}}\d{{2}}(?: ?(?!(?:{KNOWN})\d{{2}} ?[A-Z0-9]{{4
 #: Card numbers among other groups of digits: the lengths that numbers of such a start have, in groups of three or more but the last.
 CARDS = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|(?:5[06-9]|6\d)\d{11,17})$"
 GROUPS = r"^(?:\d{3,}[ -])*\d+$"
+#: The labels of a domain up to the last that begins with two letters; loops that never go back, so its length is no matter.
+DOMAIN = r"(?=[A-Za-z0-9-])(?:[A-Za-z0-9-]*+(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+\.[A-Za-z]{2,}+)++"
 #: What is looked for, in order of preference where two start at one place. Fixed formats.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@{DOMAIN}",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "iban": rf"\b(?:{IBANS})\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d|\.\d)",
@@ -68,19 +70,27 @@ def feistel(value: Column, left: int, right: int, key: str, tag: str) -> Column:
 def scramble(text: Column, key: str, tag: str) -> Column:
     """A keyed permutation of the strings of one format: digits stay digits, letters letters of their case, others stay.
 
-    An unbalanced Feistel network: each character in turn, over several rounds, gets a keyed hash of all the others
-    added, modulo the size of its class; so each step can be undone and equal strings give equal ones.
+    A Feistel network of two halves: in turn, each character of one half gets a keyed hash of the other half and of its
+    own place added, modulo the size of its class; so each round can be undone and equal strings give equal ones. The
+    work is in proportion to the length.
     """
 
     def step(state: Column, k: Column) -> Column:
-        i = F.pmod(k, F.length(state)) + 1
-        c, before, after = F.substring(state, i, F.lit(1)), F.substring(state, F.lit(1), i - 1), F.substring(state, i + 1, F.length(state))
-        h = _number(key, F.lit(tag), k.cast("string"), before, after)
-        moved = lambda base, size: F.char(F.lit(base) + F.pmod(F.ascii(c) - base + F.pmod(h, F.lit(size)), F.lit(size)))
-        new = F.when(c.rlike("^[0-9]$"), moved(48, 10)).when(c.rlike("^[a-z]$"), moved(97, 26)).when(c.rlike("^[A-Z]$"), moved(65, 26)).otherwise(c)
-        return F.concat(before, new, after)
+        n, first = F.size(state), k % 2 == 0
+        half = F.floor((n + 1) / 2).cast("int")
+        other = F.when(first, F.slice(state, half + 1, n - half)).otherwise(F.slice(state, F.lit(1), half))
 
-    return F.when(F.length(text) == 0, text).otherwise(F.aggregate(F.sequence(F.lit(0), 4 * F.length(text) - 1), text, step))
+        def moved(c: Column, i: Column, seed: Column) -> Column:
+            size, base = F.when(F.ascii(c) < 58, 10).otherwise(26), F.when(F.ascii(c) < 58, 48).when(F.ascii(c) < 91, 65).otherwise(97)
+            return F.char(base + F.pmod(F.ascii(c) - base + F.pmod(_number(key, seed, i.cast("string")), size), size))
+
+        def turn(seed: Column) -> Column:
+            return F.transform(state, lambda c, i: F.when(((i < half) == first) & c.rlike("^[0-9A-Za-z]$"), moved(c, i, seed)).otherwise(c))
+
+        return _let(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(tag), k.cast("string"), F.array_join(other, "")), 256), turn)
+
+    characters = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
+    return F.array_join(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), characters, step), "")
 
 
 def _digits(text: Column) -> Column:
@@ -118,22 +128,27 @@ def _made_card(m: Column, key: str) -> Column:
 def _cards_within(m: Column, key: str) -> Column:
     """m with the card numbers replaced that begin and end at borders of its groups, from the left, the longest first."""
 
-    def within(groups: Column) -> Column:
-        start = lambda i: F.aggregate(F.slice(groups, 1, i), i + 1, lambda n, g: n + F.length(g))
+    def within(x: Column) -> Column:
+        groups = x["groups"]
+        start = lambda i: F.get(x["starts"], i)
         part = lambda i, j: F.substring(m, start(i), start(j) + F.length(F.get(groups, j)) - start(i))
 
         def step(state: Column, i: Column) -> Column:
             ends = F.sequence(i, F.least(F.size(groups) - 1, i + 6))
-            parts = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), part(i, j).alias("p"))), lambda x: x["p"].rlike(GROUPS) & _digits(x["p"]).rlike(CARDS) & (luhn_sum(_digits(x["p"])) % 10 == 0))
+            parts = F.filter(F.transform(ends, lambda j: F.struct(j.alias("j"), part(i, j).alias("p"))), lambda x: (F.length(x["p"]) - x["j"] + i >= 13) & x["p"].rlike(GROUPS) & _digits(x["p"]).rlike(CARDS) & (luhn_sum(_digits(x["p"])) % 10 == 0))
             before = F.when(i > 0, F.substring(m, start(i) - 1, F.lit(1))).otherwise(F.lit(""))
             found = lambda x: F.struct(F.concat(state["out"], before, _made_card(x["p"], key)).alias("out"), (x["j"] + 1).alias("next"))
             other = F.struct(F.concat(state["out"], before, F.get(groups, i)).alias("out"), state["next"].alias("next"))
-            return F.when(i < state["next"], state).otherwise(_let(parts, lambda x: F.when(F.size(x) > 0, found(F.get(x, F.size(x) - 1))).otherwise(other)))
+            return F.when(i < state["next"], state).when(F.length(F.get(groups, i)) < 3, other).otherwise(_let(parts, lambda x: F.when(F.size(x) > 0, found(F.get(x, F.size(x) - 1))).otherwise(other)))
 
         begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"))
         return F.aggregate(F.sequence(F.lit(0), F.size(groups) - 1), begin, step, lambda s: s["out"])
 
-    return _let(F.split(m, "[ -]", -1), within)
+    def placed(groups: Column) -> Column:
+        starts = F.aggregate(groups, F.array(F.lit(1)), lambda a, g: F.concat(a, F.array(F.element_at(a, -1) + F.length(g) + 1)))
+        return F.struct(groups.alias("groups"), starts.alias("starts"))
+
+    return _let(_let(F.split(m, "[ -]", -1), placed), within)
 
 
 def _card(m: Column, key: str) -> Column:
@@ -220,12 +235,12 @@ def pseudonymised(text: Column, key: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
     def put(m: Column) -> Column:
-        gaps = F.split(text, ANY, -1)
+        parts = F.struct(F.transform(m, lambda x: pseudonym(x, key)).alias("new"), F.split(text, ANY, -1).alias("gaps"))
         return _let(
-            F.transform(m, lambda x: pseudonym(x, key)),
-            lambda new: F.struct(
-                F.concat(gaps[0], F.array_join(F.transform(new, lambda x, i: F.concat(x, F.get(gaps, i + 1))), "")).alias("text"),
-                F.size(F.filter(F.arrays_zip(m.alias("m"), new.alias("new")), lambda z: z["m"] != z["new"])).alias("n_replaced"),
+            parts,
+            lambda p: F.struct(
+                F.concat(p["gaps"][0], F.array_join(F.zip_with(p["new"], F.slice(p["gaps"], F.lit(2), F.size(m)), lambda x, y: F.concat(x, y)), "")).alias("text"),
+                F.aggregate(F.zip_with(m, p["new"], lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, x: a + x).alias("n_replaced"),
             ),
         )
 
