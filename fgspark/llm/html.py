@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -13,21 +14,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: What of a page is no text at all, and tags that end a block. Fixed values of HTML.
-SILENT = "script style noscript template svg math iframe object canvas select textarea head title".split()
+#: Elements whose content is no text of the page, and tags that end a block. Fixed values of HTML.
+SILENT = re.compile("script|style|template|textarea|select|title", re.I)
 BLOCKS = set(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label".split()
+    "head header hr html iframe legend li main menu nav noscript ol optgroup option p pre section summary table tbody td tfoot th thead tr ul label".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES_P = BLOCKS - set("body html button label caption legend td th tr tbody thead tfoot".split())
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<silent>script|style|noscript|template|svg|math|iframe|object|canvas|select|textarea|title)\b[^>]*?(?:/>|>.*?(?:</(?P=silent)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<![^>]*>|<\?[^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|itemprop)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
-HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+CLOSES_P = BLOCKS - set("body html iframe noscript button label caption legend td th tr tbody thead tfoot".split())
+MARK = re.compile(r"<(?:(?P<long>!--|!\[CDATA\[)|(?P<short>[!?])|(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+))")
+#: What a tag has after its name, up to its end; nothing in it is tried a second way.
+REST = re.compile(r"(?>[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+>")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+HIDDEN = re.compile(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", re.I)
 NAME = re.compile(r"[a-z]+")
 #: Words of class names, ids and roles, and what part of a page they tell of. Fixed values.
 PARTS = {
@@ -43,6 +42,8 @@ PARTS = {
     "share": "share sharing social follow facebook twitter tags tag meta byline author date",
 }
 PART_OF = {w: k for k, words in PARTS.items() for w in words.split()}
+#: Words that such names are put together with. Fixed values.
+LAYOUT = set("box wrap wrapper block container inner outer area list item link links row col column left right top bottom content section panel".split())
 
 
 class Block:
@@ -54,17 +55,55 @@ class Block:
         self.text, self.linked, self.above, self.tag = text, linked, above, tag
 
 
-def _own(tag: str, rest: str) -> tuple[frozenset[str], bool]:
-    """Features that an element gives to what is in it, and whether it is hidden."""
-    found, hidden = {"<" + tag}, False
-    if "=" in rest or "hidden" in rest:
-        for m in ATTRIBUTE.finditer(rest):
-            name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
-                hidden = True
-            elif name != "style":
-                found.update("@" + PART_OF[w] for w in NAME.findall(value) if w in PART_OF)
-    return frozenset(found), hidden
+def _own(tag: str, rest: str) -> frozenset[str]:
+    """Features that an element gives to what is in it: its tag, what its class, id and role tell of, whether it is hidden.
+
+    A name made of such words tells more than one that holds another word too ("cookie-notice", "popular-science").
+    """
+    found = {"<" + tag}
+    if tag == "noscript":
+        found.add("@note")
+    for m in ATTRIBUTE.finditer(rest):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
+            found.add("?hidden")
+        elif name in ("class", "id", "role", "itemprop"):
+            for words in map(NAME.findall, value.split()):
+                sign = "@" if all(w in PART_OF or w in LAYOUT for w in words) else "~"
+                found.update(sign + PART_OF[w] for w in words if w in PART_OF)
+    return frozenset(found)
+
+
+def marks(page: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag, whether an end tag, rest) of all markup, in time linear in the page; tag None: no text, to be passed over.
+
+    A quoted attribute value may hold any sign. Where quotes leave a tag open to the page's end, this tag and all later
+    ones end at their first ">". A "<" that nothing closes is text; comments and silent elements that nothing closes
+    reach to the end.
+    """
+    at, last, quotes, size = 0, page.rfind(">"), True, len(page)
+    open_silent: dict[str, bool] = {}
+    while (m := MARK.search(page, at)) and (m["long"] or m.end() <= last):
+        if m["long"]:
+            close = "-->" if m["long"] == "!--" else "]]>"
+            end = page.find(close, m.end())
+            at = size if end < 0 else end + 3
+            yield m.start(), at, None, False, ""
+            continue
+        found = REST.match(page, m.end()) if quotes and not m["short"] else None
+        quotes = quotes and (found is not None or bool(m["short"]))
+        at = found.end() if found else page.find(">", m.end()) + 1
+        if m["short"]:
+            yield m.start(), at, None, False, ""
+            continue
+        tag, rest = m["tag"].lower(), page[m.end() : at - 1]
+        if not m["end"] and SILENT.fullmatch(tag) and not rest.endswith("/"):
+            end = None if open_silent.get(tag) else re.compile(rf"</{tag}(?![a-z0-9:-])[^>]*+>", re.I).search(page, at)
+            open_silent[tag] = end is None
+            at = size if end is None else end.end()
+            yield m.start(), at, None, False, ""
+            continue
+        yield m.start(), at, tag, bool(m["end"]), rest
 
 
 def blocks(page: str) -> list[Block]:
@@ -73,7 +112,8 @@ def blocks(page: str) -> list[Block]:
     Any page gives blocks: unclosed elements end with their parent, stray end tags and unclosed comments are passed over.
     """
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = [("", frozenset(), False)]
+    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    opened: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     links = 0
@@ -82,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal links
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
-            if text and not stack[-1][2]:
+            if text and "<head" not in stack[-1][1]:
                 anchor = len(" ".join(entities.unescape(" ".join(linked)).split()))
                 out.append(Block(text, min(1.0, anchor / len(text)), stack[-1][1], stack[-1][0]))
             parts.clear()
@@ -95,38 +135,39 @@ def blocks(page: str) -> list[Block]:
             if links:
                 linked.append(text)
 
+    def leave(n: int) -> None:
+        for name, _ in stack[n:]:
+            opened[name] -= 1
+        del stack[n:]
+
     at = 0
-    for m in MARKUP.finditer(page):
-        words(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
+    for start, end, tag, closing, rest in marks(page):
+        words(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag, rest = tag.lower(), m["rest"]
-        if m["end"]:
+        if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag in BLOCKS or tag == "head":
+            elif tag in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if opened[tag] > 0:
+                    leave(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag == "a":
             links += 1
         elif tag == "br":
             words(" ")
-        elif tag in BLOCKS or tag == "head":
+        elif tag in BLOCKS:
             flush()
             if tag in CLOSES_P and stack[-1][0] == "p" or tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack[-1][0] == tag:
-                stack.pop()
+                leave(len(stack) - 1)
             if tag in VOID or rest.endswith("/"):
                 continue
-            own, hidden = _own(tag, rest)
             if tag == "body":
-                stack[1:] = []
-            stack.append((tag, stack[-1][1] | own, stack[-1][2] or hidden or tag == "head"))
+                leave(1)
+            stack.append((tag, stack[-1][1] | _own(tag, rest)))
+            opened[tag] += 1
     words(page[at:])
     flush()
     return out
@@ -139,7 +180,7 @@ def features(found: list[Block]) -> list[list[str]]:
         n = b.text.count(" ") + 1
         size = n.bit_length()
         ends = b.text[-1] in ".!?…\"”»)"
-        row = ["bias", f"n{min(size, 7)}", f"l{int(4 * b.linked)}", f"e{int(ends)}", "t" + b.tag, f"c{min(3, b.text.count(','))}", *b.above]
+        row = ["bias", f"n{min(size, 7)}", f"l{int(4 * b.linked)}", f"e{int(ends)}", "t" + b.tag, f"c{min(3, b.text.count(','))}", *sorted(b.above)]
         row.append(f"n{min(size, 7)}l{int(b.linked > 0.5)}e{int(ends)}")
         if "©" in b.text or "All rights" in b.text:
             row.append("copyright")
@@ -150,7 +191,7 @@ def features(found: list[Block]) -> list[list[str]]:
     return rows
 
 
-ANY_PART = frozenset({"<article", "<main", "<nav", "<aside", "<footer", "<header", "<form", *("@" + k for k in PARTS)})
+ANY_PART = frozenset({"<article", "<main", "<nav", "<aside", "<footer", "<header", "<form", *(sign + k for k in PARTS for sign in "@~")})
 
 WORDS = "amber basil cedar delta ember fable grove harbor island jasper kernel lumen meadow nectar opal prairie quartz river summit tundra umber valley willow xenon yonder zephyr the of and to in is was for on with".split()
 
@@ -173,7 +214,12 @@ def labelled_page(rng: random.Random) -> list[tuple[Block, int]]:
     def name(*kinds: str) -> str:
         if rng.random() < 0.25:
             return ""
-        value = rng.choice(PARTS[rng.choice(kinds)].split()) + rng.choice(["", "", "-box", "-wrap", " block", "_1"])
+        roll = rng.random()
+        if roll < 0.25:  # names hold other words too, and now and then any word
+            kinds = tuple(PARTS) if roll < 0.04 else kinds
+            value = rng.choice([f"{rng.choice(PARTS[rng.choice(kinds)].split())}-{rng.choice(WORDS)}", f"{rng.choice(WORDS)}-{rng.choice(PARTS[rng.choice(kinds)].split())}"])
+        else:
+            value = rng.choice(PARTS[rng.choice(kinds)].split()) + rng.choice(["", "", "-box", "-wrap", " block", "_1"])
         return f' {rng.choice(["class", "class", "id"])}="{value}"'
 
     def links(n: int) -> str:
@@ -181,7 +227,7 @@ def labelled_page(rng: random.Random) -> list[tuple[Block, int]]:
 
     def wrap(tags: str, kinds: tuple[str, ...], inside: str) -> str:
         tag = rng.choice(tags.split())
-        attribute = name(*kinds) if tag != "div" or rng.random() < 0.1 else f' class="{rng.choice(PARTS[rng.choice(kinds)].split())}"'
+        attribute = rng.choice([" hidden", ' aria-hidden="true"', ' style="display:none"']) if rng.random() < 0.04 else name(*kinds) if tag != "div" or rng.random() < 0.1 else f' class="{rng.choice(PARTS[rng.choice(kinds)].split())}"'
         return f"<{tag}{attribute}>{inside}</{tag}>"
 
     def para(label: bool, a: int = 5, b: int = 80) -> str:
@@ -234,7 +280,7 @@ def labelled_page(rng: random.Random) -> list[tuple[Block, int]]:
             inside.append(rng.choice([ad, note, form, side])())
     shape = rng.random()
     body = "".join(inside)
-    body = f"<article{name('body')}>{body}</article>" if shape < 0.5 else f"<main{name('body')}>{body}</main>" if shape < 0.65 else f'<div class="{rng.choice(PARTS["body"].split())}">{body}</div>' if shape < 0.85 else f"<div>{body}</div>" if shape < 0.93 else body
+    body = f"<article{name('body')}>{body}</article>" if shape < 0.5 else f"<main{name('body')}>{body}</main>" if shape < 0.65 else f'<div class="{rng.choice(PARTS["body"].split())}">{body}</div>' if shape < 0.78 else f'<div class="{rng.choice(PARTS[rng.choice(list(PARTS))].split())}-{rng.choice(WORDS)}">{body}</div>' if shape < 0.85 else f"<div>{body}</div>" if shape < 0.93 else body
     if rng.random() < 0.3:
         body = f"<main>{body}{talk() if rng.random() < 0.3 else ''}</main>"
     before = [f() for f in (head, menu, note, ad, form, side) if rng.random() < 0.4]
