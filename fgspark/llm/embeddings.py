@@ -7,15 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import settle, written
 from .components import components, forest
 
-#: Vectors of a cell that are compared in one block, and the most pivots.
+#: Vectors of a cell that are compared in one block; the fewest and the most pivots; the most frequent lengths of vectors
+#: that get pivots (those of other lengths are one cell, which is compared block by block).
 BLOCK = 2048
-MOST_PIVOTS = 1024
+FEWEST_PIVOTS, MOST_PIVOTS = 4, 1024
+LENGTHS = 64
 #: Added to the radius of borders, far above rounding errors.
 SLACK = 1e-6
 
@@ -83,13 +85,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
     group = F.xxhash64(F.col("label").cast("string"), F.size("v"))
     coded = points.select(group.alias("group"), "node", "copies", "v").mapInArrow(raw, "group long, node long, copies long, x binary")
     n = points.count()
-    sizes = [r[0] for r in points.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count")).limit(16).collect()]
-    wanted = min(MOST_PIVOTS, -(-n // (4 * BLOCK)))
+    wanted = min(MOST_PIVOTS, max(FEWEST_PIVOTS, -(-n // (4 * BLOCK))))
+    size = F.size("v").alias("size")
+    common = [r[0] for r in points.groupBy(size).count().orderBy(F.desc("count"), "size").limit(LENGTHS).collect()]
+    turn = F.row_number().over(Window.partitionBy("size").orderBy(F.xxhash64("node")))
+    taken = points.select(size, "v", "node").where(F.col("size").isin(common)).withColumn("turn", turn).where(F.col("turn") <= 4 * wanted).select("size", "v").collect()
     sample: dict[int, np.ndarray] = {}
-    for size in sizes if wanted > 1 else []:
-        taken = points.where(F.size("v") == size).orderBy(F.xxhash64("node")).limit(4 * wanted).select("v").collect()
-        x = np.array([r[0] for r in taken])
-        sample[size] = pivots_of(x / np.sqrt((x * x).sum(axis=1))[:, None], wanted)
+    for length in common:
+        x = np.array([r.v for r in taken if r.size == length])
+        sample[length] = pivots_of(x / np.sqrt((x * x).sum(axis=1))[:, None], wanted)
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     shared = points.sparkSession.sparkContext.broadcast(sample)
 
@@ -131,8 +135,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec
 
     links = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     reached = components(found.where("other is not null").select("node", "other"))
-    classes = points.join(links, "node", "left").join(reached, "node", "left").select("label", "v", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    classes = written(points.join(links, "node", "left").join(reached, "node", "left").select("label", "v", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("root")), instead_of=(found, reached, points))
+    least = written(classes.groupBy("root").agg(F.min("first").alias("component_id")))  # so that the join can split a large component
     named = classes.join(least, "root").select("label", "v", "n_links", "component_id")
     linked = rows.where(valid).join(named, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~valid).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
@@ -174,5 +178,6 @@ def _compare(threshold: float):
                 sides[role].append((node, copies, x))
         if (done := out()) is not None:
             yield done
+        settle()
 
     return run
