@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -91,8 +91,8 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int =
     The target model counts the hashed words and word pairs of `target` (column text, bounded by its caller), the raw
     model those of all docs. log_weight is the sum over a document's n-grams of the models' log ratio; key adds Gumbel
     noise from a hash of the id and seed, and the floor(share * rows) largest keys are kept, which draws documents
-    without replacement in proportion to their weights. Of equal keys the smaller ids are kept; rows equal in key and
-    id are kept or left together. Null or empty text: log_weight 0. Null ids have noise of their own. Repeated rows stay. An empty table
+    without replacement in proportion to their weights. Of equal keys the smaller ids are kept, a null id last; rows
+    equal in key and id are kept or left together. Null or empty text: log_weight 0. Null ids have noise by their text. Repeated rows stay. An empty table
     gives no rows. Other columns are not read.
     """
     ratio = docs.sparkSession.sparkContext.broadcast(log_ratios(counts(target, text_col), counts(docs, text_col)))
@@ -102,19 +102,25 @@ def resample(docs: DataFrame, target: DataFrame, share: float = 0.8, seed: int =
         weights = ratio.value
         for batch in batches:
             found = [grams(t, cache) for t in _batches(batch.column("t"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(g) for g in found], pa.int64()), pa.array([float(weights[g].sum()) for g in found], pa.float64())], names=["doc_id", "n_grams", "log_weight"])
-
-    scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "doc_id long, n_grams long, log_weight double")
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    keyed = written(scored.withColumn("key", F.col("log_weight") - F.log(-F.log(uniform))))
+            own = [batch.column(c) for c in ("doc_id", "noise")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([len(g) for g in found], pa.int64()), pa.array([float(weights[g].sum()) for g in found], pa.float64())], names=["doc_id", "noise", "n_grams", "log_weight"])
+
+    text, own = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    noise = F.xxhash64(F.lit(seed), own, F.when(own.isNull(), F.coalesce(text, F.lit(""))))
+    scored = docs.select(own.alias("doc_id"), noise.alias("noise"), text.alias("t")).mapInArrow(run, "doc_id long, noise long, n_grams long, log_weight double")
+    uniform = (F.pmod("noise", F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    keyed = written(scored.select("doc_id", "n_grams", "log_weight", (F.col("log_weight") - F.log(-F.log(uniform))).alias("key")))
     k = int(share * keyed.count())
     limit = kth_largest(keyed, "key", k)
     if limit is None:
         return keyed.withColumn("kept", F.lit(False))
     above = keyed.where(F.col("key") > limit).count()
-    ties = keyed.where(F.col("key") == limit).groupBy("doc_id").count().orderBy(F.asc_nulls_last("doc_id")).limit(k - above).select("doc_id")
-    last = ties.agg(F.max("doc_id")).first()[0]
-    return keyed.withColumn("kept", (F.col("key") > limit) | (F.col("key") == limit) & (F.col("doc_id") <= F.lit(last) if last is not None else F.lit(True)))
+    # ids of one key are few: they differ in noise unless hashes agree
+    order = F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id")
+    ties = keyed.where(F.col("key") == limit).groupBy(F.struct(*order).alias("tie")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("tie").rowsBetween(Window.unboundedPreceding, -1))
+    last = ties.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < k - above).agg(F.max("tie")).first()[0]
+    return keyed.withColumn("kept", (F.col("key") > limit) | (F.col("key") == limit) & (F.struct(*order) <= F.struct(F.lit(last[0]).alias("none"), F.lit(last[1]).cast("long").alias("id"))))
 
 
 def target_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TARGET) -> DataFrame:
