@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 PIECE = r"[^.!?]{1,64}[.!?]*|[.!?]+"
 #: Paragraphs up to and with one whose hash ends in 0 to 3 are a section, so an edit moves no section border but its own.
 SECTION = r"(?:[0-9a-f]{15}[4-9a-f])*(?:[0-9a-f]{15}[0-3]|$)"
-#: Least number of ids that a range of the order by id spans.
-RANGE = 4096
+#: Ranges of the order by id for each shuffle partition.
+RANGES = 4
 
 
 def _hash(c: Column) -> Column:
@@ -57,40 +57,60 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def edited_paragraphs(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the paragraphs of b whose hash a doesn't have: where b was edited."""
+    """struct(start, stop): the paragraphs of b (from 0) between those that both have at the head and those at the tail.
+
+    Whole branches that agree are passed over by their hashes alone; start = stop where nothing of b is new.
+    """
     hashes = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9a-f]{16}(?=:)"), F.lit(0))
-    return F.filter(F.transform(hashes(b), lambda h, i: F.when(~F.array_contains(hashes(a), h), i)), lambda i: i.isNotNull())
+
+    def agree(x: Column, y: Column, most: Column) -> Column:
+        same = F.zip_with(F.slice(x, F.lit(1), most), F.slice(y, F.lit(1), most), lambda u, v: u == v)
+        first = F.array_position(same, F.lit(False)).cast("int")
+        return F.when(first > 0, first - 1).otherwise(most)
+
+    def found(p: Column) -> Column:
+        n, m = F.size(p["a"]), F.size(p["b"])
+        head = agree(p["a"], p["b"], F.least(n, m))
+        return _let(head, lambda h: F.struct(h.alias("start"), (m - agree(F.reverse(p["a"]), F.reverse(p["b"]), F.least(n, m) - h)).alias("stop")))
+
+    return _let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), found)
 
 
 def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     """docs with a struct `next` of the columns of the row with the next smaller id; after the last comes the first.
 
-    Ids are cut in ranges, each at most RANGE ids or a share of them if they are sparse; a window runs in each range
-    alone, and a range's last row takes the first row of the next range that has any. Null ids come last. Rows of equal
-    id follow each other by the columns' hash.
+    A first job sorts the keys alone into ranges of equally many rows and takes each range's first key, so gaps between
+    ids are no matter; at most RANGES for each shuffle partition come to the driver. A window runs in each range alone,
+    and a range's last row takes the first row of the next range. Null ids come last. Rows of equal id follow each other
+    by the columns' hash; only rows alike in both have to be in one range.
     """
-    count, least, most = docs.agg(F.count("*"), F.min(id_col), F.max(id_col)).first()
-    least, most = (least or 0), (most or 0)
-    width = max(RANGE, -(-(most - least + 1) * RANGE // max(count, 1)))
-    piece = F.coalesce(F.floor((F.col(id_col) - least) / width), F.lit(-1)).cast("long")
-    rows = docs.withColumn("__range", piece).withColumn("__tie", F.xxhash64(*columns))
+    spark = docs.sparkSession
+    ordered = lambda c: F.lpad(F.hex(c.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # noqa: E731  text that sorts as the numbers do
+    id_ = F.col(id_col).cast("long")
+    key = F.concat(F.when(id_.isNull(), "1").otherwise("0"), ordered(F.bitwise_not(F.coalesce(id_, F.lit(0)))), ordered(F.xxhash64(*columns)))
+    rows = docs.withColumn("__key", key)
+    n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_keys = rows.select("__key").repartitionByRange(n, "__key")
+    first = sorted(r.k for r in sorted_keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min("__key").alias("k")).collect()) or [""]
+    bounds, step = F.array(*map(F.lit, first)), max(1, int(len(first) ** 0.5))
+    below = lambda listed: F.size(F.filter(listed, lambda b: b <= F.col("__key")))
+    coarse = below(F.array(*map(F.lit, first[::step]))) - 1
+    rows = rows.withColumn("__coarse", F.greatest(coarse, F.lit(0)))
+    rows = rows.withColumn("__range", F.col("__coarse") * step + below(F.slice(bounds, F.col("__coarse") * step + 1, F.lit(step))) - 1).drop("__coarse")
     row = F.struct(*columns)
-    order = Window.partitionBy("__range").orderBy(F.desc_nulls_last(id_col), F.asc("__tie"))
+    order = Window.partitionBy("__range").orderBy("__key")
     # the first rows of ranges come from the same shuffle as the rows themselves
-    heads = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(F.col("__range").alias("__r"), row.alias("__head"))
-    # one row per range, at most a row per RANGE documents where ids are dense
-    ranges = docs.select(piece.alias("__range")).distinct()
-    after = ranges.select(F.col("__range").alias("__from"), F.coalesce(F.lead("__range").over(Window.orderBy(F.desc("__range"))), F.max("__range").over(Window.partitionBy(F.lit(0)))).alias("__to"))
-    heads = heads.join(after, F.col("__r") == F.col("__to")).select(F.col("__from").alias("__range"), "__head")
+    heads = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(F.pmod(F.col("__range") - 1, F.lit(len(first))).alias("__range"), row.alias("__head"))
     led = rows.withColumn("__lead", F.lead(row).over(order))
-    return led.join(heads, "__range", "left").withColumn("next", F.coalesce("__lead", "__head")).drop("__range", "__tie", "__lead", "__head")
+    return led.join(heads, "__range", "left").withColumn("next", F.coalesce("__lead", "__head")).drop("__range", "__key", "__lead", "__head")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_at.
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edited_start, edited_stop.
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many (or all) of
-    the next document's, by descending doc_id, after the last the first. Null text: empty. Null ids: last. Repeated rows
+    the next document's, by descending doc_id, after the last the first. edited_start and edited_stop give the paragraphs
+    of the edited text that its tree tells apart from the text's. Null text: empty. Null ids: last. Repeated rows
     stay, each followed by the other. A single row is its own next. An empty table gives no rows. Other columns are not
     read. One shuffle of the texts.
     """
@@ -100,7 +120,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = with_next(own, "doc_id", ["text"])
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("next.text")).alias("__next"), F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next.text"), F.lit(1), half)).alias("__edited"))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("__edited")))
+    rows = rows.withColumn("__at", edited_paragraphs(F.col("fingerprint"), F.col("edited_fingerprint")))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("__edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("__next")).alias("near_next"),
+        F.col("__at.start").alias("edited_start"), F.col("__at.stop").alias("edited_stop"),
     )

@@ -223,10 +223,32 @@ def test_packing(spark):
     assert packing.binary_lengths(2500) == [1024, 1024, 256, 128, 64, 4]
 
 
-@pytest.mark.parametrize("width", [4096, 2])
-def test_fingerprints_and_next_documents(spark, monkeypatch, width):
-    monkeypatch.setattr(merkle, "RANGE", width)
-    data = [(i * 3, f"line {i} one. Two words here!\nline two {i * i}.\n\nEnd of {i}" * (i % 4)) for i in range(12)] + [(1000, "same"), (1001, "same"), (10**12, None), (-5, "ab"), (None, "no id")]
+def digest(text):
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def brute_tree(text):
+    lines = [[digest(x) for x in re.findall(r"[^.!?]{1,64}[.!?]*|[.!?]+", line)] for line in text.split("\n")]
+    hashes = [digest("p" + ",".join(x)) for x in lines]
+    sections, here = [], ""
+    for h in hashes:
+        here += h
+        if h[-1] in "0123":
+            sections, here = [*sections, here], ""
+    sections += [here] if here else []
+    root = hashlib.sha256(("r" + "".join(digest("s" + s) for s in sections)).encode()).hexdigest()
+    return root + "|" + "".join(f"{h}:{','.join(x)}" + ("/" if h[-1] in "0123" else ";") for h, x in zip(hashes, lines))
+
+
+def brute_likeness(a, b):
+    x, y = ({digest(p) for line in t.split("\n") for p in re.findall(r"[^.!?]{1,64}[.!?]*|[.!?]+", line)} for t in (a, b))
+    return 1.0 if a == b else 2 * len(x & y) / (len(x) + len(y)) if x or y else 0.0
+
+
+@pytest.mark.parametrize("ranges", [4, 1])
+def test_fingerprints_and_next_documents(spark, monkeypatch, ranges):
+    monkeypatch.setattr(merkle, "RANGES", ranges)
+    data = [(i * 3, f"line {i} one. Two words here!\nline two {i * i}.\n\nEnd of {i}" * (i % 4)) for i in range(12)] + [(1000, "same"), (1001, "same"), (10**15, None), (-(2**63), "ab"), (None, "no id")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in data], "doc_id long, text string, fingerprint string")
     rows = {r.doc_id: r for r in merkle.fingerprints(docs).collect()}
     order = sorted((d for d in data if d[0] is not None), key=lambda d: -d[0]) + [data[-1]]
@@ -239,6 +261,12 @@ def test_fingerprints_and_next_documents(spark, monkeypatch, width):
         assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         assert (r.edited_fingerprint == r.fingerprint) == (edited == t)
+        old, new = t.split("\n"), edited.split("\n")
+        assert old[: r.edited_start] == new[: r.edited_start] and (r.edited_start == r.edited_stop) == (edited == t or not new[r.edited_start : r.edited_stop])
+        assert new[r.edited_stop :] == old[len(old) - (len(new) - r.edited_stop) :]
+        for fp, u in ((r.fingerprint, t), (r.edited_fingerprint, edited)):
+            assert fp == brute_tree(u)
+        assert r.near_edited == pytest.approx(brute_likeness(t, edited)) and r.near_next == pytest.approx(brute_likeness(t, after))
     assert rows[1000].fingerprint == rows[1001].fingerprint and rows[1001].near_next == 1
     assert len({r.fingerprint for r in rows.values()}) == len({t or "" for _, t in data})
     one = merkle.fingerprints(docs.where("doc_id = 0 or doc_id = 1000").limit(1)).collect()
@@ -249,7 +277,7 @@ def test_edits_are_located(spark):
     a, b = "one.\ntwo.\nthree.\nfour.", "one.\ntwo!\nthree.\nfour."
     df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
     r = df.select(merkle.edited_paragraphs(F.col("a"), F.col("b")).alias("e"), merkle.likeness(F.col("a"), F.col("b")).alias("l")).first()
-    assert r.e == [1] and r.l == pytest.approx(0.75)
+    assert tuple(r.e) == (1, 2) and r.l == pytest.approx(0.75)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
