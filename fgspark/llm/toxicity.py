@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import moebius_scan
+from .common import moebius_scan, settle
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5, 6)
@@ -20,7 +20,7 @@ THRESHOLD = 0.7
 #: Bounds of the sample that the tagger is fitted on: labelled rows of each kind, and characters of a row.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 3000
 #: Words that the score cache holds before it starts anew.
-CACHED = 400_000
+CACHED = 150_000
 
 
 def features(word: str) -> list[str]:
@@ -219,6 +219,7 @@ def score_column(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans:
             if spans:
                 out = pa.StructArray.from_arrays([out, pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())])))], names=["score", "spans"])
             yield out
+        settle()
 
     return run(F.col(text_col).cast("string"))
 
