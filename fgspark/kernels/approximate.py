@@ -132,31 +132,44 @@ def structured_mean_field(graph: Graph, left_out: set[int], max_iter: int = 50,
     return Result(marginals, bound)
 
 
-def min_sum_diffusion(graph: Graph, max_iter: int = 100, tol: float = 1e-5) -> tuple[list[int], float, float]:
-    """Averages min-marginals between factors and variables. Returns (state, energy, lower bound of all energies)."""
+def _diffuse(graph: Graph, least, max_iter: int, tol: float) -> tuple[list[np.ndarray], list[np.ndarray | None], float]:
+    """Averages what `least` (the minimum, or its soft form) leaves of each table for a variable with the variable's own
+    table, till the sum of all tables' least values stands. (tables of variables, of factors with more of them, the sum)."""
     unary = [np.zeros(c) for c in graph.cards]
-    tables = []
+    tables: list[np.ndarray | None] = []
     for scope, table in graph.factors:
         if len(scope) == 1:
             unary[scope[0]] = unary[scope[0]] + table
-        else:
-            tables.append((scope, table.copy()))
+        tables.append(table.copy() if len(scope) > 1 else None)
     bound = -np.inf
     for _ in range(max_iter):
-        for scope, table in tables:
-            for i, v in enumerate(scope):
-                least = table.min(axis=tuple(j for j in range(len(scope)) if j != i))
-                move = (unary[v] - least) / 2
+        for (scope, _), table in zip(graph.factors, tables):
+            for i, v in enumerate(scope) if table is not None else ():
+                move = (unary[v] - least(table, tuple(j for j in range(len(scope)) if j != i))) / 2
                 unary[v] = unary[v] - move
                 table += move.reshape([-1 if j == i else 1 for j in range(len(scope))])
-        now = sum(float(u.min()) for u in unary) + sum(float(t.min()) for _, t in tables)
+        now = sum(float(least(u, None)) for u in unary) + sum(float(least(t, None)) for t in tables if t is not None)
         done, bound = abs(now - bound) < tol, now
         if done:
             break
+    return unary, tables, bound
+
+
+def min_sum_diffusion(graph: Graph, max_iter: int = 100, tol: float = 1e-5) -> tuple[list[int], float, float]:
+    """Averages min-marginals between factors and variables. Returns (state, energy, lower bound of all energies)."""
+    unary, _, bound = _diffuse(graph, lambda t, axis: t.min(axis=axis), max_iter, tol)
     state = [int(np.argmin(u)) for u in unary]
     return state, graph.energy(state), bound
 
 
+def sum_product_diffusion(graph: Graph, max_iter: int = 100, tol: float = 1e-5) -> Result:
+    """As min_sum_diffusion() with -log sum exp(-energy) for the minimum: an upper bound of log Z, and the marginals of the
+    tables it ends with."""
+    unary, tables, bound = _diffuse(graph, lambda t, axis: -lse(-t, axis), max_iter, tol)
+    final = [unary[scope[0]] if t is None else t for (scope, _), t in zip(graph.factors, tables)]
+    return Result([np.exp(-t - float(lse(-t))) for t in final], -bound)
+
+
 def tree_cover(graph: Graph) -> tuple[list[list[int]], list[int]]:
     """Forests of factors that together hold each factor; each takes least covered factors first. Unaries are in all."""
     unary = [k for k, (scope, _) in enumerate(graph.factors) if len(scope) == 1]

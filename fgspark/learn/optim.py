@@ -54,6 +54,26 @@ def lbfgs(f: Function, x: np.ndarray, tol: float = 1e-5, max_iter: int = 0, memo
     return x, value
 
 
+def backtracking(f: Function, x: np.ndarray, tol: float = 1e-5, max_iter: int = 0, shrink: float = 0.5, enough: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Steepest descent; a step that does not bring enough is shortened, and the next starts at twice the last length."""
+    value, grad = f(x)
+    step = 1.0
+    for _ in range(max_iter or 100_000):
+        square = float(grad @ grad)
+        if square < tol * tol:
+            break
+        for _ in range(60):
+            new = x - step * grad
+            v, g = f(new)
+            if v <= value - enough * step * square:
+                break
+            step *= shrink
+        else:
+            break
+        x, value, grad, step = new, v, g, step / shrink
+    return x, value
+
+
 def barzilai_borwein(f: Function, x: np.ndarray, tol: float = 1e-5, max_iter: int = 0) -> tuple[np.ndarray, float]:
     value, grad = f(x)
     if np.linalg.norm(grad) < tol:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import digit, strides, with_digit
+from ..functions.tables import strides
 
 
 def scopes(factor: DataFrame, variable: DataFrame) -> DataFrame:
@@ -25,15 +25,15 @@ def _sparse_dot(data: Column, at: Column, w: Column, ei: Column, size: Column) -
 
 
 def energy_tables(factor: DataFrame, factor_type: DataFrame) -> DataFrame:
-    """The factors with `energies`, an array of their tables (first variable fastest).
+    """The factors with `energies`, an array of their tables (first variable fastest), and `cards`, their variables' states.
 
     By the type's kind: "table" takes the weights, or the factor's data if the type has none; "linear" multiplies data
     (dense, or sparse with data_idx) with each entry's weights; "tied" does so with shared weights (tie -1: energy 0);
     "rbf" sums alpha exp(-exp(beta) |data - center|^2) over each entry's basis functions. The types are few and
     broadcast by Spark if their size allows; no factor's row is exploded.
     """
-    t = factor_type.select(F.col("name").alias("type"), "kind", "prod_card", "data_size", "w", "tie", "rbf_n", "log_beta")
-    rows = factor.join(t, "type")
+    t = factor_type.select(F.col("name").alias("type"), "kind", F.col("card").alias("cards"), "prod_card", "data_size", "w", "tie", "rbf_n", "log_beta")
+    rows = factor.drop("cards").join(t, "type")
     entries = F.sequence(F.lit(0).cast("bigint"), F.col("prod_card") - 1)
     size, w, data, at = (F.col(c) for c in ("data_size", "w", "data", "data_idx"))
     sparse = F.coalesce(F.size("data_idx") > 0, F.lit(False))
@@ -45,7 +45,7 @@ def energy_tables(factor: DataFrame, factor_type: DataFrame) -> DataFrame:
     distance = lambda e, n: F.aggregate(F.zip_with(data, F.slice(w, e * basis + F.col("rbf_n") + n * size + 1, size), lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
     rbf = F.transform(entries, lambda e: F.aggregate(F.transform(F.sequence(F.lit(0), F.col("rbf_n") - 1), lambda n: F.get(w, (e * basis + n).cast("int")) * F.exp(-F.exp("log_beta") * distance(e, n))), F.lit(0.0), lambda a, x: a + x))
     energies = F.when(F.col("kind") == "tied", tied).when(F.col("kind") == "rbf", rbf).when((F.col("kind") == "linear") & ~bare, linear).otherwise(table)
-    return rows.withColumn("energies", energies).select(*factor.columns, "energies")
+    return rows.withColumn("energies", energies).select(*[c for c in factor.columns if c != "cards"], "cards", "energies")
 
 
 def energy_rows(tables: DataFrame) -> DataFrame:
@@ -69,88 +69,106 @@ def expected_energy(energy: DataFrame, marginal: DataFrame) -> DataFrame:
     return energy.join(marginal, ["graph_id", "factor_id", "ei"]).groupBy("graph_id").agg(F.sum(F.col("p") * F.col("energy")).alias("energy"))
 
 
-def site_energies(energy: DataFrame, scope: DataFrame, states: DataFrame) -> DataFrame:
-    """For each variable and each of its states the energy of its factors, the others as in the labeling.
+def site_energies(tables: DataFrame, states: DataFrame) -> DataFrame:
+    """For each variable and each of its states the energy of its factors, the others as in the labeling (graph_id, var_id, state).
 
-    graph_id, var_id, s, energy. Only the factors at a variable are looked at, so a changed site costs its neighbours.
+    graph_id, var_id, s, energy; tables: from energy_tables(), or with `cards`. A factor's states are brought to its row
+    once, and all of its sites are looked up in its own table; only the factors at a variable are looked at, so a changed
+    site costs its neighbours. Factors with a variable that has no state are left out.
     """
-    at = factor_states(scope, states)
-    cells = scope.join(at, ["graph_id", "factor_id"]).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("card") - 1)))
-    cells = cells.select("graph_id", "factor_id", "var_id", "s", with_digit(F.col("ei"), F.col("stride"), F.col("card"), F.col("s")).alias("ei"))
-    return cells.join(energy, ["graph_id", "factor_id", "ei"]).groupBy("graph_id", "var_id", "s").agg(F.sum("energy").alias("energy"))
+    keys = ["graph_id", "factor_id"]
+    at = tables.select(*keys, "cards", "energies", F.posexplode("vars").alias("pos", "var_id")).join(states.select("graph_id", "var_id", "state"), ["graph_id", "var_id"])
+    row = F.sort_array(F.collect_list(F.struct("pos", "var_id", "state"))).alias("x")
+    whole = at.groupBy(*keys).agg(F.first("cards").alias("cards"), F.first("energies").alias("energies"), row).where(F.size("x") == F.size("cards"))
+    whole = whole.withColumn("k", strides(F.col("cards"))).withColumn("ei", F.aggregate(F.zip_with("x", "k", lambda x, k: x["state"] * k), F.lit(0).cast("bigint"), lambda a, y: a + y))
+
+    def site(x: Column, i: Column) -> Column:
+        k, ei = F.get("k", i), F.col("ei")
+        return F.transform(F.sequence(F.lit(0), F.get("cards", i) - 1), lambda s: F.struct(x["var_id"].alias("var_id"), s.alias("s"), F.get("energies", (ei + (s - x["state"]) * k).cast("int")).alias("energy")))
+
+    each = whole.select("graph_id", F.explode(F.flatten(F.transform("x", site))).alias("c"))
+    return each.groupBy("graph_id", "c.var_id", "c.s").agg(F.sum("c.energy").alias("energy"))
+
+
+def site_change(tables: DataFrame, states: DataFrame, changed: DataFrame) -> DataFrame:
+    """graph_id, var_id, s, change: what the energy gains if one variable alone goes to another state; changed: graph_id, var_id, s."""
+    near = tables.join(tables.select("graph_id", "factor_id", F.explode("vars").alias("var_id")).join(changed, ["graph_id", "var_id"]).select("graph_id", "factor_id").distinct(), ["graph_id", "factor_id"])
+    sites = site_energies(near, states)
+    now = sites.join(states.withColumnRenamed("state", "s"), ["graph_id", "var_id", "s"]).select("graph_id", "var_id", F.col("energy").alias("now"))
+    return changed.join(sites, ["graph_id", "var_id", "s"]).join(now, ["graph_id", "var_id"]).select("graph_id", "var_id", "s", (F.col("energy") - F.col("now")).alias("change"))
+
+
+def observed_energy(energy: DataFrame, scope: DataFrame, states: DataFrame, marginal: DataFrame) -> DataFrame:
+    """graph_id, energy: of the labeling where a graph has states, else expected under its factor marginals."""
+    labeled = labeling_energy(energy, scope, states)
+    expected = expected_energy(energy, marginal.join(states.select("graph_id").distinct(), "graph_id", "left_anti"))
+    return labeled.unionByName(expected)
 
 
 def weight_gradient(factor: DataFrame, marginal: DataFrame, factor_type: DataFrame) -> DataFrame:
-    """type, k, g: sum over factors of marginal times feature at each weight (tables: the marginal itself; tied: by tie).
+    """type, k, g: sum over factors of the marginal times the slope of the energy in each weight.
 
-    Sums combine before the shuffle, whose rows are then at most the weights of all types per task.
+    Tables: the marginal itself; linear: times the data; tied: by tie; rbf: the slopes in amplitudes and centers, and in
+    log_beta as k = -1. Sums combine before the shuffle, whose rows are then at most the weights of all types per task.
     """
-    t = factor_type.select(F.col("name").alias("type"), "kind", "data_size", "tie")
+    t = factor_type.select(F.col("name").alias("type"), "kind", "data_size", "tie", "w", "rbf_n", "log_beta")
     cells = marginal.join(factor.join(t, "type"), ["graph_id", "factor_id"])
     slot = F.when(F.col("kind") == "tied", F.get("tie", F.col("ei").cast("int")).cast("bigint")).otherwise(F.col("ei"))
-    cells = cells.withColumn("slot", slot).where("slot >= 0")
+    cells = cells.withColumn("slot", slot).where("slot >= 0").withColumn("size", F.greatest(F.coalesce("data_size", F.lit(0)), F.lit(1)).cast("bigint"))
     bare = F.coalesce(F.col("data_size"), F.lit(0)) == 0
     sparse = F.coalesce(F.size("data_idx") > 0, F.lit(False))
-    pairs = F.when(bare, F.array(F.struct(F.lit(0).alias("d"), F.lit(1.0).alias("x"))))
-    pairs = pairs.when(sparse, F.zip_with("data_idx", "data", lambda d, x: F.struct(d.alias("d"), x.alias("x"))))
-    pairs = pairs.otherwise(F.transform("data", lambda x, d: F.struct(d.alias("d"), x.alias("x"))))
-    each = cells.select("type", "slot", "p", F.greatest(F.coalesce("data_size", F.lit(0)), F.lit(1)).alias("size"), F.explode(pairs).alias("f"))
-    return each.groupBy("type", (F.col("slot") * F.col("size") + F.col("f.d")).alias("k")).agg(F.sum(F.col("p") * F.col("f.x")).alias("g"))
+    at = F.col("slot") * F.col("size")
+    pairs = F.when(F.col("kind") == "rbf", _rbf_slopes()).when(bare, F.array(F.struct(at.alias("k"), F.lit(1.0).alias("x"))))
+    pairs = pairs.when(sparse, F.zip_with("data_idx", "data", lambda d, x: F.struct((at + d).alias("k"), x.alias("x"))))
+    pairs = pairs.otherwise(F.transform("data", lambda x, d: F.struct((at + d).alias("k"), x.alias("x"))))
+    each = cells.select("type", "p", F.explode(pairs).alias("f"))
+    return each.groupBy("type", F.col("f.k").alias("k")).agg(F.sum(F.col("p") * F.col("f.x")).alias("g"))
 
 
-def condition_on_states(energy: DataFrame, scope: DataFrame, observed: DataFrame) -> DataFrame:
-    """Tables of the factors with a free variable, cut to the observed states: graph_id, factor_id, ei, new_ei, energy.
+def _rbf_slopes() -> Column:
+    """Array of struct(k, x): slopes of sum alpha exp(-exp(beta) |data - center|^2) at the row's entry `slot`."""
+    n, size, w, data = F.col("rbf_n").cast("bigint"), F.col("data_size").cast("bigint"), F.col("w"), F.col("data")
+    first, beta = F.col("slot") * n * (1 + size), F.exp("log_beta")
+    weight = lambda i: F.get(w, i.cast("int"))
+    center = lambda i: first + n + i * size
+    square = lambda i: F.aggregate(F.zip_with(data, F.slice(w, (center(i) + 1).cast("int"), size.cast("int")), lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
+    found = lambda i: F.struct(i.alias("i"), square(i).alias("q"), F.exp(-beta * square(i)).alias("v"), weight(first + i).alias("alpha"))
+    of = lambda k, x: F.struct(k.cast("bigint").alias("k"), x.alias("x"))
 
-    new_ei counts over the free variables only. Factors without a free one are left out; observed_constant() has what
-    they add.
-    """
-    marks = scope.join(observed, ["graph_id", "var_id"], "left")
-    packed = marks.groupBy("graph_id", "factor_id").agg(F.sort_array(F.collect_list(F.struct("pos", "card", "stride", "state"))).alias("s"))
-    free = F.filter("s", lambda x: x["state"].isNull())
-    cells = energy.join(packed, ["graph_id", "factor_id"]).where(F.size(free) > 0)
-    fits = F.forall("s", lambda x: x["state"].isNull() | (digit(F.col("ei"), x["stride"], x["card"]) == x["state"]))
-    start = F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(1).cast("bigint").alias("k"))
-    index = F.aggregate(free, start, lambda a, x: F.struct((a["i"] + digit(F.col("ei"), x["stride"], x["card"]) * a["k"]).alias("i"), (a["k"] * x["card"]).alias("k")), lambda a: a["i"])
-    return cells.where(fits).select("graph_id", "factor_id", "ei", index.alias("new_ei"), "energy")
-
-
-def observed_constant(energy: DataFrame, scope: DataFrame, observed: DataFrame) -> DataFrame:
-    """graph_id, energy: what the factors with observed variables only add to every labeling."""
-    marks = scope.join(observed, ["graph_id", "var_id"], "left").groupBy("graph_id", "factor_id").agg(F.sum(F.col("stride") * F.col("state")).alias("ei"), F.count("state").alias("seen"), F.count("*").alias("n"))
-    return marks.where("seen = n").join(energy, ["graph_id", "factor_id", "ei"]).groupBy("graph_id").agg(F.sum("energy").alias("energy"))
-
-
-def condition_on_beliefs(energy: DataFrame, scope: DataFrame, beliefs: DataFrame) -> DataFrame:
-    """Expected tables over the free variables, where beliefs (graph_id, var_id, s, p) replace the others: new_ei, energy."""
-    believed = beliefs.select("graph_id", "var_id").distinct().withColumn("known", F.lit(True))
-    marks = scope.join(believed, ["graph_id", "var_id"], "left")
-    cells = energy.join(marks, ["graph_id", "factor_id"]).withColumn("s", digit(F.col("ei"), F.col("stride"), F.col("card")))
-    cells = cells.join(beliefs, ["graph_id", "var_id", "s"], "left")
-    rows = cells.groupBy("graph_id", "factor_id", "ei").agg(
-        F.first("energy").alias("energy"),
-        F.exp(F.sum(F.log(F.coalesce("p", F.lit(1.0))))).alias("p"),
-        F.sort_array(F.collect_list(F.when(F.col("known").isNull(), F.struct("pos", "s", "card")))).alias("free"),
-    )
-    start = F.struct(F.lit(0).cast("bigint").alias("i"), F.lit(1).cast("bigint").alias("k"))
-    index = F.aggregate("free", start, lambda a, x: F.struct((a["i"] + x["s"] * a["k"]).alias("i"), (a["k"] * x["card"]).alias("k")), lambda a: a["i"])
-    return rows.where(F.size("free") > 0).groupBy("graph_id", "factor_id", index.alias("new_ei")).agg(F.sum(F.col("p") * F.col("energy")).alias("energy"))
-
-
-def violations(factor: DataFrame, variable: DataFrame, factor_type: DataFrame, max_data: float = 1e4) -> DataFrame:
+    def each(b: Column) -> Column:
+        own = F.array(of(first + b["i"], b["v"]), of(F.lit(-1), -b["alpha"] * beta * b["q"] * b["v"]))
+        return F.concat(own, F.transform(data, lambda x, d: of(center(b["i"]) + d, 2 * b["alpha"] * beta * b["v"] * (x - weight(center(b["i"]) + d)))))
+
+    return F.flatten(F.transform(F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), found), each))
+
+
+def violations(factor: DataFrame, variable: DataFrame, factor_type: DataFrame, max_data: float = 1e4, states: DataFrame | None = None) -> DataFrame:
     """graph_id, factor_id, var_id, problem: what a validator has to say about the tables."""
-    t = factor_type.select(F.col("name").alias("type"), F.col("card").alias("cards"))
+    t = factor_type.select(F.col("name").alias("type"), "kind", F.col("card").alias("cards"), "prod_card", "data_size", "w")
     none = F.lit(None).cast("int")
-    typed = factor.join(t, "type", "left")
-    at = typed.select("graph_id", "factor_id", F.posexplode("vars").alias("pos", "var_id"), "cards").join(variable, ["graph_id", "var_id"], "left")
+    typed = factor.drop("cards").join(t, "type", "left")
+    bare, sparse = F.coalesce(F.col("data_size"), F.lit(0)) == 0, F.col("data_idx").isNotNull()
+    free = F.col("kind").isin("table", "linear")
+    weights = F.coalesce(F.size("w"), F.lit(0))
+    tables = bare & free & (weights <= 0)
+    types = F.when(free & ~bare & (weights != F.col("prod_card") * F.col("data_size")) | free & bare & (weights > 0) & (weights != F.col("prod_card")), F.lit("number of weights"))
+    sizes = F.when(tables & ~sparse & (F.size("data") != F.col("prod_card")), F.lit("size of the energy table")).when(~bare & ~sparse & (F.size("data") != F.col("data_size")), F.lit("number of data"))
+    empty = F.when(sparse & (F.size("data") <= 0), F.lit("empty sparse data")).when(sparse & (F.size("data") != F.size("data_idx")), F.lit("number of data"))
+    zipped = F.arrays_zip(F.col("vars").alias("var_id"), F.coalesce("cards", F.expr("cast(array() as array<int>)")).alias("needed"))
+    at = typed.select("graph_id", "factor_id", F.explode(zipped).alias("x")).select("graph_id", "factor_id", "x.var_id", "x.needed").where("var_id is not null").join(variable, ["graph_id", "var_id"], "left")
     out = [
         typed.where(F.col("cards").isNull()).select("graph_id", "factor_id", none.alias("var_id"), F.lit("unknown type").alias("problem")),
         typed.where(F.size("vars") != F.size("cards")).select("graph_id", "factor_id", none, F.lit("number of variables")),
         at.where(F.col("card").isNull()).select("graph_id", "factor_id", "var_id", F.lit("unknown variable")),
-        at.where(F.get("cards", F.col("pos")) != F.col("card")).select("graph_id", "factor_id", "var_id", F.lit("cardinality")),
+        at.where(F.col("needed") != F.col("card")).select("graph_id", "factor_id", "var_id", F.lit("cardinality")),
         factor.where(F.exists("data", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))).select("graph_id", "factor_id", none, F.lit("data not finite")),
         factor.where(F.exists("data", lambda x: ~F.isnan(x) & (F.abs(x) != float("inf")) & (F.abs(x) >= max_data))).select("graph_id", "factor_id", none, F.lit("data very large")),
         variable.join(at.select("graph_id", "var_id").distinct(), ["graph_id", "var_id"], "left_anti").select("graph_id", none.alias("factor_id"), "var_id", F.lit("isolated variable").alias("problem")).select("graph_id", "factor_id", "var_id", "problem"),
     ]
+    out += [typed.withColumn("problem", p).where("problem is not null").select("graph_id", "factor_id", none.alias("var_id"), "problem") for p in (types, sizes, empty)]
+    if states is not None:
+        off = states.join(variable, ["graph_id", "var_id"]).where("state < 0 or state >= card")
+        out.append(off.select("graph_id", none.alias("factor_id"), "var_id", F.lit("state out of range").alias("problem")))
     found = out[0]
     for more in out[1:]:
         found = found.unionAll(more)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..kernels import approximate, exact, sampling
 from ..kernels.decompose import acyclic_greedy
 from ..kernels.graph import Graph, Result
+from . import energies as E
 
 #: Methods of infer(): name -> (kernel, whether it gives a labeling).
 MARGINAL_METHODS = {
@@ -24,6 +25,7 @@ MARGINAL_METHODS = {
     "ais": lambda g, **o: sampling.annealed_importance(g, **o),
     "pt": lambda g, **o: sampling.parallel_tempering(g, **o)[0],
     "samc": lambda g, **o: sampling.stochastic_approximation(g, **o)[0],
+    "spdiff": lambda g, **o: approximate.sum_product_diffusion(g, **o),
     "sw": lambda g, **o: sampling.swendsen_wang(g, **o),
 }
 MAP_METHODS = {
@@ -53,7 +55,9 @@ def _graph(rows: pd.DataFrame) -> tuple[Graph, list[int], list[int]]:
 
 
 def packed(tables: DataFrame, variable: DataFrame) -> DataFrame:
-    """A row per factor: graph_id, factor_id, vars, cards, energies; from energy_tables()."""
+    """A row per factor: graph_id, factor_id, vars, cards, energies; from energy_tables(), whose `cards` are taken if they are there."""
+    if "cards" in tables.columns:
+        return tables.select("graph_id", "factor_id", "vars", "cards", "energies")
     at = tables.select("graph_id", "factor_id", F.posexplode("vars").alias("pos", "var_id")).join(variable, ["graph_id", "var_id"])
     cards = at.groupBy("graph_id", "factor_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "card"))), lambda x: x["card"]).alias("cards"))
     return tables.join(cards, ["graph_id", "factor_id"]).select("graph_id", "factor_id", "vars", "cards", "energies")
@@ -118,7 +122,8 @@ def divergence(energy_p: DataFrame, log_z_p: DataFrame, energy_q: DataFrame, log
 
 
 def energy_statistic(p: DataFrame, q: DataFrame) -> DataFrame:
-    """graph_id, statistic: 2 E|p - q| - E|p - p'| - E|q - q'| of two sample sets, the distance the root of the Hamming distance.
+    """graph_id, statistic, coefficient: 2 E|p - q| - E|p - p'| - E|q - q'| of two sample sets, the distance the root of the
+    Hamming distance; the coefficient is its share of 2 E|p - q| (0 where that is 0).
 
     Equal samples of a graph are counted first; only distinct ones are paired, and weigh as often as they occur.
     """
@@ -131,4 +136,17 @@ def energy_statistic(p: DataFrame, q: DataFrame) -> DataFrame:
         weighed = pairs.select("graph_id", (F.col("n1") * F.col("n2")).alias("n"), F.sqrt(unequal.cast("double")).alias("d")).where("d IS NOT NULL")
         return weighed.groupBy("graph_id").agg((F.sum(F.col("n") * F.col("d")) / F.sum("n")).alias(name))
 
-    return mean(p, q, "pq").join(mean(p, p, "pp"), "graph_id").join(mean(q, q, "qq"), "graph_id").select("graph_id", (2 * F.col("pq") - F.col("pp") - F.col("qq")).alias("statistic"))
+    return mean(p, q, "pq").join(mean(p, p, "pp"), "graph_id").join(mean(q, q, "qq"), "graph_id").select("graph_id", _excess().alias("statistic"), F.when(F.col("pq") > 0, _excess() / (2 * F.col("pq"))).otherwise(0.0).alias("coefficient"))
+
+
+def _excess() -> Column:
+    return 2 * F.col("pq") - F.col("pp") - F.col("qq")
+
+
+def sampled_divergence(energy_p: DataFrame, scope_p: DataFrame, log_z_p: DataFrame, energy_q: DataFrame, scope_q: DataFrame, log_z_q: DataFrame, samples_q: DataFrame) -> DataFrame:
+    """graph_id, kl of q from p by samples of q (graph_id, sample_id, var_id, state): mean of E_p - E_q, plus log Z_p - log Z_q."""
+    keys = ("graph_id", "sample_id")
+    p, q = (E.labeling_energy(e, s, samples_q, keys).withColumnRenamed("energy", n) for e, s, n in ((energy_p, scope_p, "ep"), (energy_q, scope_q, "eq")))
+    mean = p.join(q, list(keys)).groupBy("graph_id").agg(F.avg(F.col("ep") - F.col("eq")).alias("d"))
+    both = mean.join(log_z_p.withColumnRenamed("log_z", "zp"), "graph_id").join(log_z_q.withColumnRenamed("log_z", "zq"), "graph_id")
+    return both.select("graph_id", (F.col("d") + F.col("zp") - F.col("zq")).alias("kl"))

@@ -59,6 +59,11 @@ def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.select("user_id", (F.row_number().over(order) - 1).alias("pos"), F.col("v0").alias("state"), F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def event_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """graph_id, var_id, state: the labeling of the chains by their own event types."""
+    return event_chains(spark, sf_dir).select(F.col("user_id").alias("graph_id"), F.col("pos").alias("var_id"), "state")
+
+
 def transition_energies(chains: DataFrame, card: int) -> list[float]:
     """-ln of the smoothed share of each step (first state fastest): 25 numbers for 5 states, counted over all chains."""
     nxt = F.lead("state").over(Window.partitionBy("user_id").orderBy("pos"))

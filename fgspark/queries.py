@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tables as T
+from .operators import conditioning as C
 from .operators import energies as E
 from .operators import grouped as G
 from .operators import structure as S
@@ -92,7 +93,7 @@ def in_map_events(spark: SparkSession, d: str) -> DataFrame:
 
 def ev_labeling_events(spark: SparkSession, d: str) -> DataFrame:
     variable, factor, types = P.event_graphs(spark, d)
-    states = P.event_chains(spark, d).select(F.col("user_id").alias("graph_id"), F.col("pos").alias("var_id"), "state")
+    states = P.event_states(spark, d)
     energy = E.energy_rows(E.energy_tables(factor, types))
     return _six(E.labeling_energy(energy, E.scopes(factor, variable), states).select(F.col("graph_id").alias("user_id"), "energy"), "energy")
 
@@ -103,28 +104,24 @@ def ev_expected_orders(spark: SparkSession, d: str) -> DataFrame:
     return _six(E.expected_energy(energy, G.infer(G.packed(factor, variable), "bfexact")).select("energy"), "energy")
 
 
-def ev_sites_events(spark: SparkSession, d: str) -> DataFrame:
-    """Probability of each state of each event given the others, by softmax of the site's energies."""
+def _sites(spark: SparkSession, d: str) -> DataFrame:
+    """graph_id, var_id, s, logp: of each state of each event given the others, by softmax of the site's energies."""
     variable, factor, types = P.event_graphs(spark, d)
-    states = P.event_chains(spark, d).select(F.col("user_id").alias("graph_id"), F.col("pos").alias("var_id"), "state")
-    sites = E.site_energies(E.energy_rows(E.energy_tables(factor, types)), E.scopes(factor, variable), states).withColumn("x", -F.col("energy"))
-    z = T.log_sum_exp(sites, ["graph_id", "var_id"], "x", "z")
-    return _six(sites.join(z, ["graph_id", "var_id"]).select(F.col("graph_id").alias("user_id"), F.col("var_id").alias("pos"), "s", F.exp(F.col("x") - F.col("z")).alias("p")), "p")
+    sites = E.site_energies(E.energy_tables(factor, types), P.event_states(spark, d)).groupBy("graph_id", "var_id").agg(F.sort_array(F.collect_list(F.struct("s", (-F.col("energy")).alias("x")))).alias("c"))
+    top = F.array_max(F.transform("c", lambda c: c["x"]))
+    z = sites.withColumn("top", top).withColumn("z", F.col("top") + F.log(F.aggregate("c", F.lit(0.0), lambda a, c: a + F.exp(c["x"] - F.col("top")))))
+    return z.select("graph_id", "var_id", F.explode(F.transform("c", lambda c: F.struct(c["s"].alias("s"), (c["x"] - F.col("z")).alias("logp")))).alias("c")).select("graph_id", "var_id", "c.s", "c.logp")
 
 
-def lk_pseudo_events(spark: SparkSession, d: str) -> DataFrame:
-    """Negative log-pseudolikelihood of each chain, per variable."""
-    states = P.event_chains(spark, d)
-    sites = ev_sites_raw(spark, d)
-    own = sites.join(states, (sites.graph_id == states.user_id) & (sites.var_id == states.pos) & (sites.s == states.state))
-    return _six(own.groupBy("user_id").agg((-F.avg("logp")).alias("npl")), "npl")
+def ev_sites_events(spark: SparkSession, d: str) -> DataFrame:
+    """Probability of each state of each event given the others."""
+    return _six(_sites(spark, d).select(F.col("graph_id").alias("user_id"), F.col("var_id").alias("pos"), "s", F.exp("logp").alias("p")), "p")
 
 
-def ev_sites_raw(spark: SparkSession, d: str) -> DataFrame:
-    variable, factor, types = P.event_graphs(spark, d)
-    states = P.event_chains(spark, d).select(F.col("user_id").alias("graph_id"), F.col("pos").alias("var_id"), "state")
-    sites = E.site_energies(E.energy_rows(E.energy_tables(factor, types)), E.scopes(factor, variable), states).withColumn("x", -F.col("energy"))
-    return sites.join(T.log_sum_exp(sites, ["graph_id", "var_id"], "x", "z"), ["graph_id", "var_id"]).select("graph_id", "var_id", "s", (F.col("x") - F.col("z")).alias("logp"))
+def lk_pseudo_events(spark: SparkSession, d: str) -> DataFrame:
+    """Negative log-pseudolikelihood of each chain, per variable."""
+    own = _sites(spark, d).join(P.event_states(spark, d).withColumnRenamed("state", "s"), ["graph_id", "var_id", "s"])
+    return _six(own.groupBy(F.col("graph_id").alias("user_id")).agg((-F.avg("logp")).alias("npl")), "npl")
 
 
 def _embedding_energies(spark: SparkSession, d: str, kind: str) -> DataFrame:
@@ -163,13 +160,13 @@ def lk_softmax_embeddings(spark: SparkSession, d: str) -> DataFrame:
 def co_states_orders(spark: SparkSession, d: str) -> DataFrame:
     variable, factor = _orders(spark, d)
     seen = spark.createDataFrame([(0, 2, 1)], "graph_id bigint, var_id int, state int")
-    return _six(E.condition_on_states(E.energy_rows(factor), E.scopes(factor, variable), seen).select("factor_id", "ei", "new_ei", "energy"), "energy")
+    return _six(C.condition_on_states(E.energy_rows(factor), E.scopes(factor, variable), seen).select("factor_id", "ei", "new_ei", "energy"), "energy")
 
 
 def co_beliefs_orders(spark: SparkSession, d: str) -> DataFrame:
     variable, factor = _orders(spark, d)
-    beliefs = spark.createDataFrame([(0, 2, s, p) for s, p in enumerate((0.1, 0.2, 0.3, 0.25, 0.15))], "graph_id bigint, var_id int, s int, p double")
-    return _six(E.condition_on_beliefs(E.energy_rows(factor), E.scopes(factor, variable), beliefs).select("factor_id", "new_ei", "energy"), "energy")
+    beliefs = spark.createDataFrame([(0, 2, s, p) for s, p in enumerate((0.0, 0.2, 0.55, 0.25))], "graph_id bigint, var_id int, s int, p double")
+    return _six(C.condition_on_beliefs(E.energy_rows(factor), E.scopes(factor, variable), beliefs).select("factor_id", "new_ei", "energy"), "energy")
 
 
 def st_adjacency_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -240,30 +237,16 @@ def dv_kl_orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dv_energy_statistic_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Energy statistic of the (quality, toxic) rows of even and odd documents below 200."""
-    rows = P.table(spark, d, "labels").where("doc_id < 200").select(F.lit(0).cast("bigint").alias("graph_id"), F.col("doc_id").alias("sample_id"), F.posexplode(F.array("quality", "toxic")).alias("var_id", "state"))
-    return _six(G.energy_statistic(rows.where("sample_id % 2 = 0"), rows.where("sample_id % 2 = 1")).select("statistic"), "statistic")
-
-
-def dv_energy_statistic_all_labels(spark: SparkSession, d: str) -> DataFrame:
-    """Energy statistic of the (quality, toxic) rows of all even and all odd documents."""
+    """Energy statistic of the (quality, toxic) rows of all even and all odd documents, and its share of the distance between them."""
     rows = P.table(spark, d, "labels").select(F.lit(0).cast("bigint").alias("graph_id"), F.col("doc_id").alias("sample_id"), F.posexplode(F.array("quality", "toxic")).alias("var_id", "state"))
-    return _six(G.energy_statistic(rows.where("sample_id % 2 = 0"), rows.where("sample_id % 2 <> 0")).select("statistic"), "statistic")
+    return _six(G.energy_statistic(rows.where("sample_id % 2 = 0"), rows.where("sample_id % 2 <> 0")).select("statistic", "coefficient"), "statistic", "coefficient")
 
 
 def io_fge_lines(spark: SparkSession, d: str) -> DataFrame:
     from .sources.fge import lines
 
     variable, factor = _lineitem(spark, d)
-    return lines(factor, variable).select(F.size(F.split("text", "\n")).alias("n_lines"), F.split("text", "\n")[1].alias("cards"), F.split("text", "\n")[4].alias("first_table"))
-
-
-def _sampled(method: str, **options):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        variable, factor = _orders(spark, d)
-        return G.infer(G.packed(factor, variable), method, **options).drop("graph_id")
-
-    return query
+    return lines(factor, variable).select("text")
 
 
 _EVENTS = """chains AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos,
@@ -328,7 +311,7 @@ ORACLE_SQL = {
     "bm_observed_embeddings": f"WITH {_VECTORS} SELECT CAST(label * 64 + d AS BIGINT) AS k, round(sum(h), 4) + 0.0 AS g FROM x GROUP BY label, d",
     "lk_softmax_embeddings": f"WITH {_VECTORS}, n AS (SELECT vec_id, label, s, sum(h * {_W.replace('ENTRY', 's')}) AS e FROM x, st GROUP BY vec_id, label, s) SELECT vec_id, round(sum(CASE WHEN s = label THEN e END) + ln(sum(exp(-e))), 6) + 0.0 AS nll FROM n GROUP BY vec_id",
     "co_states_orders": f"WITH {_ORDERS} SELECT CAST(factor_id AS INTEGER) AS factor_id, CAST(ei AS BIGINT) AS ei, CAST(CASE factor_id WHEN 0 THEN ei ELSE a END AS BIGINT) AS new_ei, round(e, 6) + 0.0 AS energy FROM cells WHERE factor_id = 0 OR b = 1",
-    "co_beliefs_orders": f"WITH {_ORDERS}, p(s, p) AS (VALUES (0, 0.1::DOUBLE), (1, 0.2), (2, 0.3), (3, 0.25), (4, 0.15)) SELECT CAST(factor_id AS INTEGER) AS factor_id, CAST(CASE factor_id WHEN 0 THEN ei ELSE a END AS BIGINT) AS new_ei, round(sum(CASE factor_id WHEN 0 THEN e ELSE e * p END), 6) + 0.0 AS energy FROM cells LEFT JOIN p ON p.s = cells.b AND factor_id > 0 GROUP BY 1, 2",
+    "co_beliefs_orders": f"WITH {_ORDERS}, p(s, p) AS (VALUES (1, 0.2::DOUBLE), (2, 0.55), (3, 0.25)) SELECT CAST(factor_id AS INTEGER) AS factor_id, CAST(CASE factor_id WHEN 0 THEN ei ELSE a END AS BIGINT) AS new_ei, round(sum(CASE factor_id WHEN 0 THEN e ELSE e * coalesce(p, 0) END), 6) + 0.0 AS energy FROM cells LEFT JOIN p ON p.s = cells.b AND factor_id > 0 GROUP BY 1, 2",
     "st_adjacency_orders": "SELECT CAST(v AS INTEGER) AS var_id, f AS factors FROM (VALUES (0, '0,2'), (1, '0,1'), (2, '1,2')) t(v, f)",
     "st_components_geography": """WITH e AS (SELECT n_regionkey AS a, n_nationkey + 1000 AS b FROM nation UNION ALL SELECT c_nationkey + 1000, c_custkey + 2000 FROM customer),
         up AS (SELECT n_regionkey AS r, n_nationkey + 1000 AS v FROM nation UNION ALL SELECT n_regionkey, c_custkey + 2000 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT n_regionkey, n_regionkey FROM nation)
@@ -340,9 +323,13 @@ ORACLE_SQL = {
     "ls_hamming_events": f"WITH {_EVENTS}, n AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY pos) AS before FROM chains) SELECT user_id, CAST(sum(CASE WHEN before <> state THEN 1 ELSE 0 END) AS BIGINT) AS loss FROM n GROUP BY user_id",
     "ln_statistics_events": f"WITH {_EVENTS} SELECT count(*) AS n_variables, round(count(*) * log2(5), 6) + 0.0 AS log2_states, CAST(2 * count(*) - count(DISTINCT user_id) AS BIGINT) AS n_factors, count(*) AS n_data, CAST(30 AS BIGINT) AS n_parameters FROM chains",
     "dv_kl_orders": f"WITH {_ORDERS}, z AS (SELECT max(-e3) + ln(sum(exp(-e3 - (SELECT max(-e3) FROM joint)))) AS z3, max(-e2) + ln(sum(exp(-e2 - (SELECT max(-e2) FROM joint)))) AS z2 FROM joint) SELECT round(sum(exp(-e2 - z2) * (e3 - e2)) + any_value(z3) - any_value(z2), 6) + 0.0 AS kl FROM joint, z",
-    "dv_energy_statistic_labels": "WITH r AS (SELECT doc_id, quality, toxic FROM labels WHERE doc_id < 200), p AS (SELECT * FROM r WHERE doc_id % 2 = 0), q AS (SELECT * FROM r WHERE doc_id % 2 = 1), pq AS (SELECT avg(sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) AS m FROM p, q), pp AS (SELECT avg(sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) AS m FROM p, p q), qq AS (SELECT avg(sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) AS m FROM q p, q) SELECT round(2 * pq.m - pp.m - qq.m, 6) + 0.0 AS statistic FROM pq, pp, qq",
-    "dv_energy_statistic_all_labels": "WITH p AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels WHERE doc_id % 2 = 0 GROUP BY ALL), q AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels WHERE doc_id % 2 <> 0 GROUP BY ALL), pq AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM p, q), pp AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM p, p q), qq AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM q p, q) SELECT round(2 * pq.m - pp.m - qq.m, 6) + 0.0 AS statistic FROM pq, pp, qq",
+    "dv_energy_statistic_labels": "WITH p AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels WHERE doc_id % 2 = 0 GROUP BY ALL), q AS (SELECT quality, toxic, count(*)::DOUBLE AS n FROM labels WHERE doc_id % 2 <> 0 GROUP BY ALL), pq AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM p, q), pp AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM p, p q), qq AS (SELECT sum(p.n * q.n * sqrt((p.quality <> q.quality)::INT + (p.toxic <> q.toxic)::INT)) / sum(p.n * q.n) AS m FROM q p, q) SELECT round(2 * pq.m - pp.m - qq.m, 6) + 0.0 AS statistic, round((2 * pq.m - pp.m - qq.m) / (2 * pq.m), 6) + 0.0 AS coefficient FROM pq, pp, qq",
 }
+ORACLE_SQL["io_fge_lines"] = """WITH c AS (SELECT dense_rank() OVER (ORDER BY l_returnflag) - 1 AS a, dense_rank() OVER (ORDER BY l_linestatus) - 1 AS b FROM lineitem),
+    k AS (SELECT max(a) + 1 AS ca, max(b) + 1 AS cb FROM c), va AS (SELECT DISTINCT a FROM c), vb AS (SELECT DISTINCT b FROM c),
+    ab AS (SELECT va.a, vb.b, printf('%.10f', -ln(count(c.a)::DOUBLE + 1)) AS e FROM va CROSS JOIN vb LEFT JOIN c ON c.a = va.a AND c.b = vb.b GROUP BY ALL),
+    ea AS (SELECT a, printf('%.10f', -ln(count(*)::DOUBLE + 1)) AS e FROM c GROUP BY a), eb AS (SELECT b, printf('%.10f', -ln(count(*)::DOUBLE + 1)) AS e FROM c GROUP BY b)
+    SELECT concat_ws(chr(10), '2', ca || ' ' || cb, '3', '2 1 2', (SELECT string_agg(e, ' ' ORDER BY b, a) FROM ab), '1 1', (SELECT string_agg(e, ' ' ORDER BY a) FROM ea), '1 2', (SELECT string_agg(e, ' ' ORDER BY b) FROM eb), '') AS text FROM k"""
 ORACLE_SQL["in_tree_events_grouped"] = ORACLE_SQL["in_tree_events"]
 
 QUERIES = {
@@ -351,11 +338,6 @@ QUERIES = {
         sc_index_lineitem, fm_count_energies, sc_log_sum_exp, in_exact_marginals, in_exact_map, in_bp_chain, in_tree_events, in_tree_events_grouped, in_map_events, ev_labeling_events,
         ev_expected_orders, ev_sites_events, lk_pseudo_events, fm_linear_embeddings, fm_tied_embeddings, fm_rbf_embeddings, bm_observed_embeddings, lk_softmax_embeddings, co_states_orders,
         co_beliefs_orders, st_adjacency_orders, st_components_geography, st_shape_geography, io_ising, sc_total_correlation_labels, cube_labels, ls_hamming_events, ln_statistics_events,
-        dv_kl_orders, dv_energy_statistic_labels, dv_energy_statistic_all_labels, io_fge_lines,
+        dv_kl_orders, dv_energy_statistic_labels, io_fge_lines,
     )
 }
-QUERIES |= {
-    "in_mean_field_orders": _sampled("nmf"), "in_structured_mean_field_orders": _sampled("smf"), "in_gibbs_orders": _sampled("gibbs", samples=500, seed=3), "in_multichain_gibbs_orders": _sampled("mcgibbs", samples=300, seed=3),
-    "in_ais_orders": _sampled("ais", samples=50, seed=3), "in_tempering_orders": _sampled("pt", levels=5, burn_in=50, samples=200, seed=3), "in_samc_orders": _sampled("samc", levels=5, burn_in=100, samples=200, seed=3),
-    "in_map_annealing_orders": _sampled("mapsa", seed=3), "in_map_diffusion_orders": _sampled("mapmsd"), "in_map_bp_orders": _sampled("mapbp"), "in_map_lp_orders": _sampled("maplp"),
-}

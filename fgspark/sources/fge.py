@@ -37,6 +37,18 @@ def read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return variable, parsed.select("graph_id", F.explode("rows").alias("r")).select("graph_id", "r.*")
 
 
+def listing(scope: DataFrame, variable: DataFrame) -> DataFrame:
+    """graph_id, kind, number, line: a line for each variable with its factors and for each factor with its variables."""
+    text = lambda c: F.array_join(F.transform(F.sort_array(c), lambda x: x.cast("string")), " ")
+    of = scope.groupBy("graph_id", "var_id").agg(text(F.collect_set("factor_id")).alias("l"))
+    found = variable.join(of, ["graph_id", "var_id"], "left")
+    line = F.concat(F.lit("variable "), F.col("var_id").cast("string"), F.lit(" ("), F.col("card").cast("string"), F.lit(" states): factors "), F.coalesce("l", F.lit("none")))
+    variables = found.select("graph_id", F.lit("variable").alias("kind"), F.col("var_id").alias("number"), line.alias("line"))
+    in_order = scope.groupBy("graph_id", "factor_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "var_id"))), lambda x: x["var_id"].cast("string")), " ").alias("l"))
+    factors = in_order.select("graph_id", F.lit("factor").alias("kind"), F.col("factor_id").alias("number"), F.concat(F.lit("factor "), F.col("factor_id").cast("string"), F.lit(": variables "), "l").alias("line"))
+    return variables.unionByName(factors)
+
+
 def save(frames: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
     """Each table to a folder of its name."""
     for name, df in frames.items():

@@ -150,3 +150,15 @@ def test_random_trees():
     for seed in range(5):
         g = decompose.random_tree([[2, 2], [2, 3, 2], [3]], [1, 1, 0.5], 12, seed)
         assert g.is_forest() and len(g.factors) == 12 and len(set(g.components())) == 1
+
+
+def test_sum_product_diffusion():
+    found = approximate.sum_product_diffusion(pair(), 10, 1e-6)
+    assert found.log_z == pytest.approx(1.8367, abs=1e-2)
+    joint, a, b = flat(found)
+    assert joint == pytest.approx([0.3422, 0.1939, 0.2399, 0.2240], abs=0.01)
+    assert a == pytest.approx([0.5821, 0.4179], abs=0.01) and b == pytest.approx([0.5361, 0.4639], abs=0.01)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        g = Graph.of([2, 3, 2], [((0, 1), rng.normal(size=6)), ((1, 2), rng.normal(size=6)), ((0, 2), rng.normal(size=4)), ((1,), rng.normal(size=3))])
+        assert approximate.sum_product_diffusion(g, 300).log_z >= exact.enumerate_all(g).log_z - 1e-9

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from fgspark import schema
 from fgspark.functions import tables as T
+from fgspark.operators import conditioning as C
 from fgspark.operators import energies as E
 from fgspark.operators import grouped as G
+from fgspark.operators import losses as L
 from fgspark.operators import structure as S
-from fgspark.sources import fge
+from fgspark.sources import build, fge
 
 TYPE = "name string, kind string, card array<int>, prod_card bigint, data_size int, w array<double>, tie array<int>, rbf_n int, log_beta double"
 
@@ -38,6 +40,9 @@ def test_index_arithmetic(spark):
 def test_log_sum_exp_is_stable(spark):
     df = spark.createDataFrame([("a", 1000.0), ("a", 1000.0), ("b", -1000.0)], "k string, x double")
     assert dict(map(tuple, T.log_sum_exp(df, ["k"], "x", "y").collect())) == pytest.approx({"a": 1000 + math.log(2), "b": -1000})
+    odd = spark.createDataFrame([("a", float("-inf")), ("a", 0.0), ("b", float("-inf")), ("c", None), ("c", 5.0), ("d", float("inf")), ("d", -1e300), (None, 1e300)], "k string, x double")
+    assert dict(map(tuple, T.log_sum_exp(odd, ["k"], "x", "y").collect())) == {"a": 0, "b": -math.inf, "c": 5, "d": math.inf, None: pytest.approx(1e300)}
+    assert T.log_sum_exp(odd.limit(0), ["k"], "x", "y").count() == 0
     assert T.log_sum_exp(df, [], "x", "y").first().y == pytest.approx(1000 + math.log(2))
 
 
@@ -48,7 +53,7 @@ def test_labeling_and_site_energies(spark):
     got = {r.sample_id: r.energy for r in E.labeling_energy(energy, scope, states, ("sample_id",)).collect()}
     assert [got[i] for i in range(4)] == pytest.approx([0.4, 0.9, 1.3, 1.3])
     one = spark.createDataFrame([(0, 0, 0), (0, 1, 1)], schema.OBS_STATE)
-    sites = {(r.var_id, r.s): r.energy for r in E.site_energies(energy, scope, one).collect()}
+    sites = {(r.var_id, r.s): r.energy for r in E.site_energies(G.packed(factor, variable), one).collect()}
     assert sites == pytest.approx({(0, 0): 0.3, (0, 1): 0.7, (1, 0): 0.3, (1, 1): 0.8})
 
 
@@ -73,14 +78,14 @@ def test_conditioning(spark):
     variable, factor = graph(spark, [2, 2], PAIR)
     energy, scope = E.energy_rows(factor), E.scopes(factor, variable)
     seen = spark.createDataFrame([(0, 1, 0)], schema.OBS_STATE)
-    cut = E.condition_on_states(energy, scope, seen).groupBy("new_ei").agg(F.sum("energy").alias("e")).collect()
+    cut = C.condition_on_states(energy, scope, seen).groupBy("new_ei").agg(F.sum("energy").alias("e")).collect()
     left = {r.new_ei: r.e for r in cut}
     assert left == pytest.approx({0: 0.1, 1: 1.0})
     assert math.log(sum(math.exp(-x) for x in left.values())) == pytest.approx(0.24115, abs=1e-5)
-    assert E.observed_constant(energy, scope, seen).first().energy == pytest.approx(0.3)
+    assert C.observed_constant(energy, scope, seen).first().energy == pytest.approx(0.3)
     variable, triple = graph(spark, [2, 2, 2], [((0, 1, 2), [0, 0.3, 0.2, 0.1, 0.4, 0.5, 0.9, 0.6])])
     beliefs = spark.createDataFrame([(0, 1, 0, 0.3), (0, 1, 1, 0.7)], "graph_id bigint, var_id int, s int, p double")
-    got = {r.new_ei: r.energy for r in E.condition_on_beliefs(E.energy_rows(triple), E.scopes(triple, variable), beliefs).collect()}
+    got = {r.new_ei: r.energy for r in C.condition_on_beliefs(E.energy_rows(triple), E.scopes(triple, variable), beliefs).collect()}
     z = sum(math.exp(-got[i]) for i in range(4))
     assert [math.exp(-got[i]) / z for i in range(4)] == pytest.approx([0.31505, 0.30882, 0.17118, 0.20495], abs=1e-5)
 
@@ -144,3 +149,84 @@ def test_energy_statistic_pairs_distinct_samples_only(spark):
     assert found.first().statistic == pytest.approx(2 * mean(p, q) - mean(p, p) - mean(q, q), abs=1e-9)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("count(1)") == 6  # both sides of the three means are counted before they are paired
+
+
+def test_beliefs_of_zero_and_missing_states(spark):
+    variable, factor = graph(spark, [2, 2], [((0, 1), [1.0, 2.0, 11.0, 22.0])])
+    for rows in ([(0, 1, 0, 1.0), (0, 1, 1, 0.0)], [(0, 1, 0, 1.0)]):
+        beliefs = spark.createDataFrame(rows, C.BELIEFS)
+        got = C.condition_on_beliefs(E.energy_rows(factor), E.scopes(factor, variable), beliefs).orderBy("new_ei").collect()
+        assert [r.energy for r in got] == [1, 2]
+
+
+def test_conditioned_graph_and_back(spark):
+    """Marginals given variable 2 come back as those of the whole model with that state."""
+    tables = [((0, 1), [0.1, 0.7, 0.3, 0.2]), ((1, 2), [0.5, 0.1, 0.9, 0.4]), ((2,), [0.3, 0.6]), ((2, 3), [0.2, 0.8, 0.1, 0.6])]
+    variable, factor = graph(spark, [2] * 4, tables)
+    seen = spark.createDataFrame([(0, 2, 1)], C.STATES)
+    made = C.conditioned_graph(factor, variable, seen)
+    assert sorted(map(tuple, made["var_map"].collect())) == [(0, 0, 0), (0, 1, 1), (0, 2, 3)]
+    assert sorted((r.factor_id, r.old_factor_id) for r in made["factor_map"].collect()) == [(0, 0), (1, 1), (2, 3)]
+    assert made["constant"].first().energy == pytest.approx(0.6)
+    found = G.infer(made["tables"], "bfexact").join(made["factor_map"], ["graph_id", "factor_id"]).select("graph_id", F.col("old_factor_id").alias("factor_id"), "ei", "p")
+    scope, energy = E.scopes(factor, variable), E.energy_rows(factor)
+    whole = C.extend_marginals(found, energy, scope, seen)
+    held = factor.unionByName(spark.createDataFrame([(0, 4, [2], [100.0, 0.0])], factor.schema))
+    want = {(r.factor_id, r.ei): r.p for r in G.infer(G.packed(held, variable), "bfexact").where("factor_id < 4").collect()}
+    assert {(r.factor_id, r.ei): r.p for r in whole.collect()} == pytest.approx(want, abs=1e-9)
+    known = {(r.factor_id, r.cond_ei): r.p for r in C.project_known(C.extend_marginals(found, energy, scope, seen, replicate=True), scope, seen).collect()}
+    assert set(known) == {(f, c) for f in (1, 2, 3) for c in (0, 1)} and known[1, 0] == pytest.approx(known[1, 1])
+    kinds = C.conditioned_types(spark.createDataFrame([(0, 0, "p", [0, 1]), (0, 1, "p", [1, 2]), (0, 2, "p", [3, 2]), (0, 3, "u", [2])], "graph_id long, factor_id int, type string, vars array<int>"), seen)
+    assert [tuple(r) for r in kinds.collect()] == [("p", [1], 2)]
+
+
+def test_builders_and_data_sources(spark, tmp_path):
+    types = build.model(spark, [build.linear("lin", [2], [[1.0, 2.0], [3.0, 4.0]]), build.table("own", [2]), build.tied("t", [2, 2], [0, -1, -1, 0], [0.5]), build.rbf_net("r", [2], [[1.0], [2.0]], [[[0.5]], [[-1.0]]], 0.0)])
+    build.save_model(types, str(tmp_path / "m"))
+    assert sorted(map(tuple, build.load_model(spark, str(tmp_path / "m")).collect())) == sorted(map(tuple, types.collect()))
+    factor = build.by_number(spark.createDataFrame([(0, 0, 1, [0], 7, None), (0, 1, 1, [1], 7, None), (0, 2, 2, [0], None, [4.0, 5.0])], "graph_id long, factor_id int, type int, vars array<int>, dsrc_id int, data array<double>"), types, ["lin", "own"])
+    sources = spark.createDataFrame([(0, 7, [1.0, 10.0])], "graph_id long, dsrc_id int, data array<double>")
+    e = {r.factor_id: r.energies for r in E.energy_tables(build.with_sources(factor, sources), types).collect()}
+    assert e == {0: [21, 43], 1: [21, 43], 2: [4, 5]}
+    for bad in (factor.withColumn("data", F.array(F.lit(1.0))), factor.withColumn("dsrc_id", F.lit(8))):
+        with pytest.raises(Exception, match="data source"):
+            build.with_sources(bad, sources).collect()
+    with pytest.raises(ValueError):
+        build.model(spark, [build.table("a", [2]), build.table("a", [3])])
+    with pytest.raises(ValueError):
+        build.linear("a", [2], [[1.0]])
+
+
+def test_losses(spark):
+    variable, factor = graph(spark, [2, 2], PAIR)
+    seen = spark.createDataFrame([(0, 0, 1, 2.0), (0, 1, 0, 0.5)], "graph_id bigint, var_id int, state int, penalty double")
+    found = spark.createDataFrame([(0, 0, 0), (0, 1, 0)], C.STATES)
+    assert L.hamming(seen, found).first().loss == 2 and L.hamming(found, seen.drop("penalty")).first().loss == 1
+    harder = L.loss_augmented(factor, E.scopes(factor, variable), seen, -1.0)
+    got = {tuple(r.vars): r.energies for r in harder.collect()}
+    assert got[0, 1] == pytest.approx([0 - 2, 0.3, 0.2 - 2 - 0.5, 0 - 0.5]) and got[(0,)] == [0.1, 0.7]
+
+
+def test_rbf_slopes(spark):
+    """Against differences of the energies."""
+    rng = np.random.default_rng(4)
+    w = rng.normal(size=2 * 2 * 4)
+    types = lambda v, b: spark.createDataFrame([("r", "rbf", [2], 2, 3, [float(x) for x in v], None, 2, float(b))], TYPE)
+    factor = spark.createDataFrame([(0, 0, "r", [0], [float(x) for x in rng.normal(size=3)], None, None), (1, 0, "r", [0], [float(x) for x in rng.normal(size=3)], None, None)], schema.FACTOR)
+    p = spark.createDataFrame([(g, 0, s, q) for g in (0, 1) for s, q in enumerate((0.3, 0.7))], schema.MARGINAL)
+    value = lambda v, b: E.expected_energy(E.energy_rows(E.energy_tables(factor, types(v, b))), p).agg(F.sum("energy")).first()[0]
+    got = {r.k: r.g for r in E.weight_gradient(factor, p, types(w, 0.2)).collect()}
+    assert len(got) == 17
+    for k in (0, 3, 9, 15):
+        step = np.eye(16)[k] * 1e-5
+        assert got[k] == pytest.approx((value(w + step, 0.2) - value(w - step, 0.2)) / 2e-5, abs=1e-6)
+    assert got[-1] == pytest.approx((value(w, 0.2 + 1e-5) - value(w, 0.2 - 1e-5)) / 2e-5, abs=1e-6)
+
+
+def test_validator_of_sizes_and_states(spark):
+    types = spark.createDataFrame([("a", "linear", [2], 2, 2, [0.0] * 4, None, None, None), ("b", "linear", [2], 2, 2, [0.0] * 3, None, None, None), ("c", "table", [2], 2, 0, [], None, None, None)], TYPE)
+    variable = spark.createDataFrame([(0, 0, 2)], schema.VARIABLE)
+    factor = spark.createDataFrame([(0, 0, "a", [0], [1.0], None, None), (0, 1, "b", [0], [1.0, 2.0], None, None), (0, 2, "c", [0], [1.0], None, None), (0, 3, "a", [0], [], [], None), (0, 4, "a", [0], [1.0], [1, 0], None), (0, 5, "a", [0], [1.0], [1], None)], schema.FACTOR)
+    states = spark.createDataFrame([(0, 0, 2)], C.STATES)
+    got = {(r.factor_id, r.var_id, r.problem) for r in E.violations(factor, variable, types, states=states).collect()}
+    assert got == {(0, None, "number of data"), (1, None, "number of weights"), (2, None, "size of the energy table"), (3, None, "empty sparse data"), (4, None, "number of data"), (None, 0, "state out of range")}
