@@ -13,11 +13,13 @@ from .learn import optim, rbf
 from .learn.priors import Laplace, Normal, StudentT
 from .learn.training import Model, Type, instances, train
 from .operators import conditioning as C
+from .operators import elimination
 from .operators import energies as E
 from .operators import grouped as G
 from .operators import losses as L
 from .operators import structure as S
 from .plans import graphs as P
+from .queries import ORACLE_SQL as _EXACT_SQL
 from .queries import _EVENTS, _ORDERS, _SITES, _VECTORS, _W, CHAIN, ORDER_COLUMNS, TRIANGLE, _geography, _marginals, _orders, _six
 from .session import folder
 from .sources import build, fge
@@ -316,6 +318,22 @@ def _learned(objective: str, **options):
     return query
 
 
+def in_elimination_events(spark: SparkSession, d: str) -> DataFrame:
+    """log Z of every user's chain, all chains at once by rounds of joins."""
+    variable, factor, types = P.event_graphs(spark, d)
+    return _six(elimination.infer(E.energy_tables(factor, types), variable, marginals=False)[0].select(F.col("graph_id").alias("user_id"), "log_z"), "log_z")
+
+
+def in_forest_geography(spark: SparkSession, d: str) -> DataFrame:
+    """Chances of each region's and nation's state on the forest of customers, nations and regions; customers have scores
+    by their balance, neighbours like to agree."""
+    variable, factor = _geography(spark, d)
+    customer = P.table(spark, d, "customer").select(F.lit(0).cast("bigint").alias("graph_id"), (F.col("c_custkey") + 5_000_000).cast("int").alias("factor_id"), F.array((F.col("c_custkey") + 2000).cast("int")).alias("vars"), F.array(F.lit(0.0), F.col("c_acctbal").cast("double") / 10_000).alias("energies"))
+    pairs = factor.withColumn("factor_id", F.col("factor_id").cast("int")).withColumn("energies", F.array(*[F.lit(x) for x in (0.0, 0.2, 0.2, 0.0)]))
+    _, one, _ = elimination.infer(pairs.unionByName(customer), variable, finish=100)
+    return _six(one.where("var_id < 2000 and s = 1").select("var_id", "p"), "p")
+
+
 def pr_priors_lineitem(spark: SparkSession, d: str) -> DataFrame:
     """-log of three priors at the mean discount and tax of each return flag."""
     rows = P.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_discount").cast("double").alias("a"), F.avg("l_tax").cast("double").alias("b")).collect()  # a row per flag
@@ -377,11 +395,20 @@ ORACLE_SQL = {
     "io_model_embeddings": f"WITH {_VECTORS} SELECT vec_id, s, round(sum(h * {_W.replace('ENTRY', 's')}), 6) + 0.0 AS energy FROM x, st GROUP BY vec_id, s",
     "io_print_orders": f"WITH {_ORDERS}, f(v, l) AS (VALUES (0, '0 2'), (1, '0 1'), (2, '1 2')), g(f, l) AS (VALUES (0, '0 1'), (1, '1 2'), (2, '0 2')) SELECT 'variable ' || v || ' (' || CASE v WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END || ' states): factors ' || l AS line FROM f, k UNION ALL SELECT 'factor ' || f || ': variables ' || l FROM g",
     "io_violations_embeddings": "WITH e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), p AS (SELECT 'data very large' AS problem FROM e WHERE list_bool_or(list_transform(embedding, lambda x: abs(x::DOUBLE) >= 0.3)) UNION ALL SELECT 'cardinality' FROM e WHERE vec_id % 2 <> 0 UNION ALL SELECT 'state out of range' FROM e WHERE label >= CASE WHEN vec_id % 2 = 0 THEN 10 ELSE 5 END) SELECT problem, count(*) AS n FROM p GROUP BY problem",
+    "in_elimination_events": "",
+    "in_forest_geography": """WITH c AS (SELECT c_nationkey AS n, ln(1 + exp(-0.2 - c_acctbal::DOUBLE / 10000)) AS m0, ln(exp(-0.2) + exp(-c_acctbal::DOUBLE / 10000)) AS m1 FROM customer),
+        n AS (SELECT n_nationkey AS n, n_regionkey AS r, coalesce(sum(m0), 0) AS u0, coalesce(sum(m1), 0) AS u1 FROM nation LEFT JOIN c ON n = n_nationkey GROUP BY ALL),
+        up AS (SELECT *, ln(1 + exp(u1 - u0 - 0.2)) + u0 AS m0, ln(exp(-0.2) + exp(u1 - u0)) + u0 AS m1 FROM n),
+        r AS (SELECT r, sum(m0) AS v0, sum(m1) AS v1 FROM up GROUP BY r),
+        down AS (SELECT n, u0, u1, v0 - m0 AS w0, v1 - m1 AS w1 FROM up JOIN r USING (r)),
+        b AS (SELECT n, u0 + ln(1 + exp(w1 - w0 - 0.2)) + w0 AS b0, u1 + ln(exp(-0.2) + exp(w1 - w0)) + w0 AS b1 FROM down)
+        SELECT CAST(r AS INTEGER) AS var_id, round(1 / (1 + exp(v0 - v1)), 6) + 0.0 AS p FROM r UNION ALL SELECT CAST(n + 1000 AS INTEGER), round(1 / (1 + exp(b0 - b1)), 6) + 0.0 FROM b""",
     "pr_priors_lineitem": f"""WITH w AS (SELECT l_returnflag, avg(l_discount)::DOUBLE AS a, avg(l_tax)::DOUBLE AS b FROM lineitem GROUP BY 1), s AS (SELECT *, a * a + b * b AS q FROM w)
         SELECT l_returnflag, round(q / (2 * 0.25) + 2 * ln(0.5 * sqrt(2 * pi())), 6) + 0.0 AS normal, round((abs(a) + abs(b)) / 0.98 + 2 * ln(2 * 0.98), 6) + 0.0 AS laplace,
         round(lgamma(1.5) - lgamma(2.5) + ln({3 * math.pi * 0.8**2!r}) + 2.5 * ln(1 + q / (3 * 0.64)), 6) + 0.0 AS student FROM s""",
     "op_least_squares_lineitem": "WITH f AS (SELECT regr_slope(l_extendedprice::DOUBLE / 10000, l_quantity::DOUBLE / 10) AS s, regr_intercept(l_extendedprice::DOUBLE / 10000, l_quantity::DOUBLE / 10) AS i FROM lineitem) SELECT o AS optimizer, round(s, 3) + 0.0 AS slope, round(i, 3) + 0.0 AS intercept FROM f, (VALUES ('lbfgs'), ('barzilai_borwein'), ('gradient'), ('backtracking'), ('fista')) t(o)",
 }
+ORACLE_SQL["in_elimination_events"] = _EXACT_SQL["in_tree_events"]
 
 QUERIES = {
     f.__name__: f
@@ -389,7 +416,7 @@ QUERIES = {
         co_graph_orders, co_constant_orders, co_extend_orders, co_project_orders, co_types_events, fm_conditioned_events, bm_conditioned_events, ev_change_events, ev_dispatch_events, ev_batch_orders,
         sc_expand_orders, sc_total_correlation_orders, sc_place_events, fm_sparse_embeddings, bm_sparse_embeddings, bm_tied_embeddings, bm_rbf_embeddings, rb_centers_embeddings, rb_regression_lineitem,
         dv_kl_sampled_orders, ls_augmented_events, st_subgraph_orders, st_depths_geography, st_grid_geography, io_saved_orders, io_model_embeddings, io_print_orders, io_violations_embeddings,
-        pr_priors_lineitem, op_least_squares_lineitem,
+        in_elimination_events, in_forest_geography, pr_priors_lineitem, op_least_squares_lineitem,
     )
 }
 
