@@ -158,3 +158,33 @@ def simplex_projection(v: np.ndarray) -> np.ndarray:
     over = (np.cumsum(u) - 1) / np.arange(1, len(v) + 1)
     k = int(np.flatnonzero(u > over)[-1])
     return np.maximum(v - over[k], 0)
+
+
+def simplex_quadratic(q: np.ndarray, b: np.ndarray, tol: float = 1e-10, max_iter: int = 2000, memory: int = 10) -> tuple[np.ndarray, float]:
+    """The point x of the simplex that maximizes b'x - x'qx / 2, and a bound below that maximum (its value).
+
+    Spectral projected gradients: steps of Barzilai-Borwein length are projected, and shortened until they bring enough
+    over the worst of the last values.
+    """
+    f = lambda x: float(x @ q @ x) / 2 - float(b @ x)
+    x = np.full(len(b), 1 / len(b))
+    grad, step = q @ x - b, 1.0
+    past = [f(x)]
+    best = past[0], x
+    for _ in range(max_iter):
+        way = simplex_projection(x - step * grad) - x
+        slope = float(grad @ way)
+        if float(grad @ x) - grad.min() < tol:  # the duality gap
+            break
+        length, worst = 1.0, max(past[-memory:])
+        while f(x + length * way) > worst + 1e-4 * length * slope and length > 1e-12:
+            length /= 2
+        new = x + length * way
+        slopes = q @ new - b
+        s, y = new - x, slopes - grad
+        sy = float(s @ y)
+        step = min(max(float(s @ s) / sy, 1e-8), 1e8) if sy > 1e-300 else 1.0
+        x, grad = new, slopes
+        past.append(f(x))
+        best = min(best, (past[-1], x), key=lambda p: p[0])
+    return best[1], -best[0]

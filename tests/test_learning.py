@@ -10,7 +10,7 @@ from fgspark.kernels import exact
 from fgspark.kernels.graph import Graph
 from fgspark.learn import optim
 from fgspark.learn.priors import Hyperbolic, Laplace, Normal, StudentT
-from fgspark.learn.training import Model, Type, evaluate, expectation_maximization, instances, train
+from fgspark.learn.training import Model, Type, bundle, evaluate, expectation_maximization, instances, mini_batch, sampled_perceptron, stochastic, train
 
 
 @pytest.mark.parametrize("prior", [Normal(0.5), Laplace(0.7), StudentT(3, 0.8), Hyperbolic(1.2, 0.7)])
@@ -94,3 +94,81 @@ def test_expectation_maximization_improves(chains, spark):
     data = instances(few, partly).coalesce(2).cache()
     _, values = expectation_maximization(data, Model([Type("pair", [2, 2], prior=Normal(5))], np.array([0.2, 0.1, 0.0, 0.1])), max_iter=3, inner=5)
     assert values[-1] <= values[0] + 1e-6
+
+
+def test_covers_and_conditioning_sets(chains):
+    """Covers of composite likelihood, rows and columns of a grid, chosen conditioning sets."""
+    _, _, data, _ = chains
+    model, w = Model([Type("pair", [2, 2])]), np.array([0.3, -0.2, 0.1, 0.4])
+    for objective, options in (("mcle", {"cover": 2}), ("mcle", {"cover": -1}), ("mtple", {"given": [[1], [0, 2]]})):
+        assert optim.gradient_error(lambda x, o=objective, k=options: evaluate(data, model, o, x, **k)[:2], w, 2) < 1e-6
+    single = evaluate(data, model, "mcle", w, cover=-1)
+    assert single[0] == pytest.approx(3 * evaluate(data, model, "mple", w)[0])
+    both = evaluate(data, model, "mtple", w, given=[[1], [0, 2]])
+    assert both[0] == pytest.approx(single[0])  # given 1 its neighbours are alone
+
+
+def test_criss_cross(spark):
+    rng = np.random.default_rng(2)
+    pairs = [(r * 3 + c, r * 3 + c + 1) for r in range(2) for c in range(2)] + [(c, c + 3) for c in range(3)]
+    factor = spark.createDataFrame([(g, k, "pair", list(p), []) for g in range(4) for k, p in enumerate(pairs)], "graph_id bigint, factor_id int, type string, vars array<int>, data array<double>")
+    states = spark.createDataFrame([(g, v, int(rng.integers(2))) for g in range(4) for v in range(6)], "graph_id bigint, var_id int, state int")
+    model = Model([Type("pair", [2, 2])])
+    f = lambda w: evaluate(instances(factor, states), model, "mccle", w)[:2]
+    value, _ = f(np.zeros(4))
+    assert value == pytest.approx(2 * 6 * math.log(2))  # each variable is in one row and one column
+    assert optim.gradient_error(f, np.array([0.3, -0.2, 0.1, 0.4]), 2) < 1e-6
+    with pytest.raises(Exception, match="no grid"):
+        evaluate(instances(factor.where("factor_id < 6"), states), model, "mccle", np.zeros(4))
+
+
+def test_simplex_quadratic():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 5):
+        a = rng.normal(size=(n, 3))
+        q, b = a @ a.T, rng.normal(size=n)
+        x, value = optim.simplex_quadratic(q, b)
+        assert x.min() >= 0 and x.sum() == pytest.approx(1) and value == pytest.approx(b @ x - x @ q @ x / 2)
+        for y in rng.dirichlet(np.ones(n), size=300):
+            assert b @ y - y @ q @ y / 2 <= value + 1e-8
+
+
+@pytest.fixture(scope="module")
+def separable(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2))
+    y = (x[:, 0] - x[:, 1] > 0).astype(int)
+    factor = spark.createDataFrame([(i, 0, "lin", [0], [float(a) for a in row]) for i, row in enumerate(x)], "graph_id bigint, factor_id int, type string, vars array<int>, data array<double>")
+    states = spark.createDataFrame([(i, 0, int(s)) for i, s in enumerate(y)], "graph_id bigint, var_id int, state int")
+    return x, y, instances(factor, states).coalesce(2).cache()
+
+
+def test_bundle_closes_the_gap(separable):
+    x, y, data = separable
+    model, objective, bound = bundle(data, Model([Type("lin", [2], data_size=2)]), c=5.0, tol=1e-3, max_iter=60)
+    assert bound <= objective <= bound + 1e-3 * max(1, objective) + 1e-9
+    assert ((x @ model.weights.reshape(2, 2).T).argmin(axis=1) == y).mean() > 0.9
+    rng = np.random.default_rng(0)
+    for _ in range(5):
+        w = model.weights + rng.normal(size=4) * 0.3
+        assert w @ w / 2 + 5 * evaluate(data, model, "ssvm", w)[0] >= bound - 1e-9
+    assert train(data, Model([Type("lin", [2], data_size=2)]), "ssvm", "bmrm", tol=0.05, max_iter=30)[1] > 0
+
+
+def test_mini_batches(separable):
+    x, y, data = separable
+    dealt = [sorted(r.graph_id for r in mini_batch(data, 3, 0, k).collect()) for k in range(3)]
+    assert sorted(sum(dealt, [])) == list(range(60)) and dealt != [sorted(r.graph_id for r in mini_batch(data, 3, 1, k).collect()) for k in range(3)]
+    for model in (stochastic(data, Model([Type("lin", [2], data_size=2)]), "perceptron", epochs=4, batches=3, step=0.5, average=True), stochastic(data, Model([Type("lin", [2], data_size=2)]), "cd", epochs=4, batches=3, step=0.5), sampled_perceptron(data, Model([Type("lin", [2], data_size=2)]), steps=10, per_step=20)):
+        assert ((x @ model.weights.reshape(2, 2).T).argmin(axis=1) == y).mean() > 0.8
+
+
+def test_rbf_types_are_learnt(separable, tmp_path):
+    _, _, data = separable
+    rng = np.random.default_rng(6)
+    model = Model([Type("lin", [2], data_size=2, rbf_n=2)], rng.normal(size=13) * 0.5)
+    f = lambda w: evaluate(data, model, "mle", w)[:2]
+    assert all(optim.gradient_error(f, model.weights, seed) < 1e-6 for seed in (1, 2, 5))
+    model.save(str(tmp_path / "model.json"))
+    again = Model.load(str(tmp_path / "model.json"))
+    assert again.types == model.types and again.weights.tolist() == model.weights.tolist()
