@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import tables as T
+from .kernels import decompose
 from .learn import optim, rbf
 from .learn.priors import Laplace, Normal, StudentT
 from .learn.training import Model, Type, instances, train
@@ -293,6 +294,37 @@ def _held(method: str, tol: float, scopes=TRIANGLE, bound: str | None = None, **
     return query
 
 
+def _labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return P.count_graph(P.table(spark, d, "labels"), ["quality", "toxic"], [(0, 1), (0,), (1,)])
+
+
+def in_swendsen_wang_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Exact marginals of the labels' model, and whether cluster sampling comes near them."""
+    variable, factor = _labels(spark, d)
+    graphs = G.packed(factor, variable)
+    found = G.infer(graphs, "sw", samples=3000, seed=2).select("factor_id", "ei", F.col("p").alias("q"))
+    return _six(G.infer(graphs, "treeinf").join(found, ["factor_id", "ei"]).select("factor_id", "ei", "p", (F.abs(F.col("p") - F.col("q")) <= 0.06).alias("near")), "p")
+
+
+def in_tree_samples_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Exact marginals of the labels' model, and whether the shares of exact samples come near them."""
+    variable, factor = _labels(spark, d)
+    graphs, n = G.packed(factor, variable), 4000
+    samples = G.sample(graphs, "treeinf", n, seed=3)
+    shares = E.factor_states(E.scopes(factor, variable), samples, ("graph_id", "sample_id")).groupBy("factor_id", "ei").agg((F.count("*") / n).alias("q"))
+    both = G.infer(graphs, "treeinf").join(shares, ["factor_id", "ei"], "left")
+    return _six(both.select("factor_id", "ei", "p", (F.abs(F.col("p") - F.coalesce("q", F.lit(0.0))) <= 0.04).alias("near")), "p")
+
+
+def st_acyclic_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Which factors of the triangle each rule keeps: one, that of the greatest spread, as any two others close a loop."""
+    variable, factor = _orders(spark, d)
+    graph, _, ids = G._graph(G.packed(factor, variable).toPandas())  # one graph of three tables
+    spread = [float(np.ptp(t)) for _, t in graph.factors]
+    rules = {"greedy": decompose.acyclic_greedy, "packed": decompose.acyclic_packed, "exact": decompose.acyclic_exact, "annealed": decompose.acyclic_annealed}
+    return spark.createDataFrame([(name, ids[k], k not in out) for name, rule in rules.items() for out in [rule(graph, spread)] for k in range(3)], "rule string, factor_id int, kept boolean")
+
+
 def _held_map(method: str, **options):
     """A method's labeling and its energy; on these graphs it is the exact one."""
 
@@ -362,6 +394,11 @@ _GIVEN = f"""WITH {_ORDERS}, z AS (SELECT sum(exp(-e3 - (SELECT max(-e3) FROM jo
     x AS (SELECT 0 AS factor_id, s0 + c0 * s1 AS ei, sum(p) AS p, min(s2) AS s2 FROM q, k GROUP BY ALL UNION ALL SELECT 1, s1 + c1 * s2, sum(p), s2 FROM q, k GROUP BY s1, s2, c1 UNION ALL SELECT 2, s0 + c0 * s2, sum(p), s2 FROM q, k GROUP BY s0, s2, c0)"""
 _BASIS = f"""WITH {_VECTORS}, b AS (SELECT x.vec_id, x.label AS s, i, sum((h - (((7 * (d + i) + 13 * x.label) % 11 - 5) / 10.0)::DOUBLE / 5) ** 2) AS q FROM x, (VALUES (0), (1)) t(i) GROUP BY ALL)"""
 _LEARNED = "SELECT CAST(q + 2 * t AS INTEGER) AS ei, round(count(*)::DOUBLE / (SELECT count(*) FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), 2) + 0.0 AS p FROM (SELECT quality AS q, toxic AS t FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL) GROUP BY ALL"
+_LABELS = """WITH r AS (SELECT quality AS a, toxic AS b FROM labels), da AS (SELECT DISTINCT a FROM r WHERE a IS NOT NULL), db AS (SELECT DISTINCT b FROM r WHERE b IS NOT NULL),
+    na AS (SELECT a, count(*) + 1 AS n FROM r WHERE a IS NOT NULL GROUP BY a), nb AS (SELECT b, count(*) + 1 AS n FROM r WHERE b IS NOT NULL GROUP BY b),
+    w AS (SELECT da.a, db.b, (count(r.a) + 1)::DOUBLE * any_value(na.n) * any_value(nb.n) AS w FROM da CROSS JOIN db JOIN na ON na.a = da.a JOIN nb ON nb.b = db.b LEFT JOIN r ON r.a = da.a AND r.b = db.b GROUP BY ALL),
+    q AS (SELECT a, b, w / sum(w) OVER () AS p FROM w)
+    SELECT 0 AS factor_id, CAST(a + 2 * b AS BIGINT) AS ei, round(p, 6) + 0.0 AS p, true AS near FROM q UNION ALL SELECT 1, CAST(a AS BIGINT), round(sum(p), 6) + 0.0, true FROM q GROUP BY a UNION ALL SELECT 2, CAST(b AS BIGINT), round(sum(p), 6) + 0.0, true FROM q GROUP BY b"""
 
 ORACLE_SQL = {
     "co_graph_orders": f"""WITH {_ORDERS} SELECT 0 AS factor_id, 0 AS old_factor_id, '0' AS vars, CAST(a AS INTEGER) AS ei, round(sum(e * 0.5), 6) + 0.0 AS energy FROM f0 WHERE b IN (0, 2) GROUP BY a
@@ -395,6 +432,9 @@ ORACLE_SQL = {
     "io_model_embeddings": f"WITH {_VECTORS} SELECT vec_id, s, round(sum(h * {_W.replace('ENTRY', 's')}), 6) + 0.0 AS energy FROM x, st GROUP BY vec_id, s",
     "io_print_orders": f"WITH {_ORDERS}, f(v, l) AS (VALUES (0, '0 2'), (1, '0 1'), (2, '1 2')), g(f, l) AS (VALUES (0, '0 1'), (1, '1 2'), (2, '0 2')) SELECT 'variable ' || v || ' (' || CASE v WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END || ' states): factors ' || l AS line FROM f, k UNION ALL SELECT 'factor ' || f || ': variables ' || l FROM g",
     "io_violations_embeddings": "WITH e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), p AS (SELECT 'data very large' AS problem FROM e WHERE list_bool_or(list_transform(embedding, lambda x: abs(x::DOUBLE) >= 0.3)) UNION ALL SELECT 'cardinality' FROM e WHERE vec_id % 2 <> 0 UNION ALL SELECT 'state out of range' FROM e WHERE label >= CASE WHEN vec_id % 2 = 0 THEN 10 ELSE 5 END) SELECT problem, count(*) AS n FROM p GROUP BY problem",
+    "in_swendsen_wang_labels": _LABELS,
+    "in_tree_samples_labels": _LABELS,
+    "st_acyclic_orders": f"WITH {_ORDERS}, w AS (SELECT factor_id, max(e) - min(e) AS w FROM cells GROUP BY factor_id) SELECT rule, CAST(factor_id AS INTEGER) AS factor_id, w = (SELECT max(w) FROM w) AS kept FROM w, (VALUES ('greedy'), ('packed'), ('exact'), ('annealed')) t(rule)",
     "in_elimination_events": "",
     "in_forest_geography": """WITH c AS (SELECT c_nationkey AS n, ln(1 + exp(-0.2 - c_acctbal::DOUBLE / 10000)) AS m0, ln(exp(-0.2) + exp(-c_acctbal::DOUBLE / 10000)) AS m1 FROM customer),
         n AS (SELECT n_nationkey AS n, n_regionkey AS r, coalesce(sum(m0), 0) AS u0, coalesce(sum(m1), 0) AS u1 FROM nation LEFT JOIN c ON n = n_nationkey GROUP BY ALL),
@@ -416,7 +456,7 @@ QUERIES = {
         co_graph_orders, co_constant_orders, co_extend_orders, co_project_orders, co_types_events, fm_conditioned_events, bm_conditioned_events, ev_change_events, ev_dispatch_events, ev_batch_orders,
         sc_expand_orders, sc_total_correlation_orders, sc_place_events, fm_sparse_embeddings, bm_sparse_embeddings, bm_tied_embeddings, bm_rbf_embeddings, rb_centers_embeddings, rb_regression_lineitem,
         dv_kl_sampled_orders, ls_augmented_events, st_subgraph_orders, st_depths_geography, st_grid_geography, io_saved_orders, io_model_embeddings, io_print_orders, io_violations_embeddings,
-        in_elimination_events, in_forest_geography, pr_priors_lineitem, op_least_squares_lineitem,
+        in_swendsen_wang_labels, in_tree_samples_labels, st_acyclic_orders, in_elimination_events, in_forest_geography, pr_priors_lineitem, op_least_squares_lineitem,
     )
 }
 

@@ -131,7 +131,7 @@ def ring(weights):
 
 def test_induced_forests():
     weights = [1, 0.5, 1, 0.3]
-    for rule in (decompose.acyclic_exact, decompose.acyclic_greedy, decompose.acyclic_annealed):
+    for rule in (decompose.acyclic_exact, decompose.acyclic_greedy, decompose.acyclic_annealed, decompose.acyclic_packed):
         assert rule(ring(weights), weights) == {1, 3}
     g = Graph.of([2] * 9, [s for s in ((f[0], f[1].ravel(order="F")) for f in grid(np.random.default_rng(0), 3).factors) if len(s[0]) == 2])
     exact_, greedy = (len(g.factors) - len(rule(g, [1.0] * len(g.factors))) for rule in (decompose.acyclic_exact, decompose.acyclic_greedy))
@@ -140,7 +140,8 @@ def test_induced_forests():
 
 def test_set_packing_and_trails():
     sets = [{0, 1}, {1, 2}, {2, 3}, {3, 4}, {0, 4}, {2, 5}, {3, 5}, {4, 5}]
-    chosen, value = decompose.set_packing(sets, [3, 2, 7, 9, 8, 1, 4, 4])
+    chosen, value, bound = decompose.set_packing(sets, [3, 2, 7, 9, 8, 1, 4, 4])
+    assert value <= bound + 1e-9
     assert value == 15 and sum(chosen) == 2
     steps = decompose.message_schedule(ring([1] * 5))
     assert len(steps) == len(set(steps)) == 20 and all(a[1] == b[0] for a, b in zip(steps, steps[1:]))
@@ -162,3 +163,44 @@ def test_sum_product_diffusion():
     for _ in range(20):
         g = Graph.of([2, 3, 2], [((0, 1), rng.normal(size=6)), ((1, 2), rng.normal(size=6)), ((0, 2), rng.normal(size=4)), ((1,), rng.normal(size=3))])
         assert approximate.sum_product_diffusion(g, 300).log_z >= exact.enumerate_all(g).log_z - 1e-9
+
+
+def test_set_packing_against_all_choices():
+    rng = np.random.default_rng(9)
+    near = 0
+    for _ in range(60):
+        sets = [set(rng.choice(7, size=rng.integers(1, 4), replace=False).tolist()) for _ in range(8)]
+        weights = rng.random(8).tolist()
+        best = max(sum(w for j, w in enumerate(weights) if m >> j & 1) for m in range(256) if sum(len(s) for j, s in enumerate(sets) if m >> j & 1) == len(set().union(*(s for j, s in enumerate(sets) if m >> j & 1))))
+        chosen, value, bound = decompose.set_packing(sets, weights)
+        used = [e for s, c in zip(sets, chosen) if c for e in s]
+        assert len(used) == len(set(used)) and value == pytest.approx(sum(w for w, c in zip(weights, chosen) if c))
+        assert value <= best + 1e-9 <= bound + 2e-9
+        near += value >= best - 1e-9
+    assert near >= 50
+    assert decompose.set_packing([], []) == ([], 0, 0)
+
+
+def test_unions_are_undone():
+    rng, sets, past = np.random.default_rng(4), decompose.UndoSets(9), []
+    for _ in range(300):
+        if past and rng.random() < 0.45:
+            sets.undo()
+            past.pop()
+        else:
+            past.append(tuple(int(v) for v in rng.integers(9, size=2)))
+            sets.union(*past[-1])
+        g = Graph([2] * 9, [(p, np.zeros((2, 2))) for p in past if p[0] != p[1]])
+        label = g.components()
+        assert sets.count == len(set(label)) and all((sets.find(a) == sets.find(b)) == (label[a] == label[b]) for a in range(9) for b in range(9))
+
+
+def test_exact_cover_within_epsilon():
+    rng = np.random.default_rng(5)
+    pairs = [(r * 3 + c, r * 3 + c + 1) for r in range(3) for c in range(2)] + [(r * 3 + c, r * 3 + c + 3) for r in range(2) for c in range(3)]
+    g = Graph.of([2] * 9, [(p, [0] * 4) for p in pairs])
+    weights = rng.random(len(pairs)).tolist()
+    kept = lambda out: sum(w for k, w in enumerate(weights) if k not in out)
+    best = kept(decompose.acyclic_exact(g, weights))
+    assert best - 0.5 <= kept(decompose.acyclic_exact(g, weights, 0.5)) <= best + 1e-9
+    assert kept(decompose.acyclic_packed(g, weights)) <= best + 1e-9
