@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -134,6 +135,33 @@ def test_valid_numbers_beside_other_digits(spark):
     assert new[-5:] == [*stays, "9" * 5000, "7 " * 3000]
 
 
+#: What each pattern is made of, over and over. Each such text takes seconds at most.
+HOSTILE = {
+    "labels": "a@b" + ".a" * 300_000 + ".com", "local": "a" * 200_000 + "@x.com", "dots": "a@b" + "." * 400_000 + "com", "digits": "1" * 400_000, "groups": "1 " * 200_000, "threes": "111 " * 25_000,
+    "plus": "+1" * 200_000, "iban": "AT12" * 100_000, "other": "AA11 " * 40_000, "key": "AKIA" * 100_000, "dashes": "1-" * 200_000, "ip": "1." * 200_000, "at": "a@" * 200_000, "slash": "1/" * 200_000,
+    "paren": "(1" * 200_000, "dates": "2020-01-01" * 40_000, "ips": "1.2.3.4 " * 10_000, "cards": "4111 1111 1111 1111 " * 2_000, "phones": "+1 (555) 555-1234 " * 2_000,
+}
+
+
+def test_hostile_texts_take_time_in_proportion(spark):
+    docs = spark.createDataFrame(list(enumerate(HOSTILE.values())), "doc_id long, text string").repartition(8, "doc_id")
+    start = time.time()
+    new = dict(zip(HOSTILE, (r for r in sorted(pii.pseudonymise(docs, "k").select("doc_id", "text", "n_replaced").collect()))))
+    assert time.time() - start < 120
+    assert new["labels"].n_replaced == new["local"].n_replaced == 1 and new["ips"].n_replaced == 10_000 and new["phones"].n_replaced == 2_000
+    assert re.sub("[a-z]", "a", new["local"].text) == "a" * 200_000 + "@a.aaa" and new["local"].text != HOSTILE["local"]
+    for same in ("dots", "digits", "groups", "plus", "key", "dashes", "at", "slash", "paren", "dates"):
+        assert new[same].text == HOSTILE[same], same
+
+
+def test_scrambled_strings_keep_their_format(spark):
+    rows = spark.range(26 * 26).select(F.concat(F.char(97 + F.col("id") % 26), F.lit("-"), F.char((65 + F.floor(F.col("id") / 26)).cast("int"))).alias("t"))
+    got = [r[0] for r in rows.select(pii.scramble(F.col("t"), "k", "x")).collect()]
+    assert len(set(got)) == 26 * 26 and all(re.fullmatch("[a-z]-[A-Z]", t) for t in got)
+    odd = spark.createDataFrame([("",), (None,), ("é-_",), ("1",)], "t string").select(pii.scramble(F.col("t"), "k", "x")).collect()
+    assert [r[0] for r in odd[:3]] == ["", None, "é-_"] and odd[3][0].isdigit()
+
+
 def test_phones_do_not_take_in_what_stands_beside(spark):
     phones = ["+1 (826) 555-4081", "+1 826 555 4081", "+44 20 7946 0958", "+49 (30) 1234-5678", "+33.612.34.56.78", "+442079460958", "+44-20-7946-0958", "+49 30 123 456-78"]
     beside = ["190.137.223.204", "10.2.3.4", "2024-02-29", "29/02/2024", "29.02.2024", "4111 1111 1111 1111", "123-45-6789", "12/25", "12:30"]
@@ -145,6 +173,15 @@ def test_phones_do_not_take_in_what_stands_beside(spark):
     assert {t: v for t, v in new.items() if t not in phones + beside} == {f"{p} {b}": f"{new[p]} {new[b]}" for p in phones for b in beside}
 
 
+def test_resampling_of_null_ids(spark):
+    docs = spark.createDataFrame([(None, "same"), (None, "same"), (-1, "same"), (3, "same")], "doc_id long, text string")
+    for share in (0.25, 0.5, 0.75, 1.0):
+        rows = resampling.resample(docs, docs.where("doc_id = 3"), share).collect()
+        assert all(r.kept is not None for r in rows) and sum(r.kept for r in rows) in (int(4 * share), int(4 * share) + 1)
+        assert len({r.kept for r in rows if r.doc_id is None}) == 1
+    assert len({r.key for r in rows}) == 3
+
+
 def test_resampling(spark):
     rng = random.Random(2)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
@@ -203,6 +240,26 @@ def test_encoded_documents(spark):
     assert bpe.encode_documents(docs.limit(0), RANKS).count() == 0
 
 
+def test_pieces_of_equal_hash(monkeypatch):
+    """A Thue-Morse string and its complement agree in any polynomial hash modulo a power of two."""
+    first = "a"
+    for _ in range(11):
+        first += first.translate(str.maketrans("ab", "ba"))
+    second = first.translate(str.maketrans("ab", "ba"))
+    ranks, known = bpe.load(RANKS).ranks, Tokenizer.from_file(VOCABULARY)
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for texts in ([first, second], [second + " x " + first, first], [first]):
+        flat, sizes = bpe.cached(RANKS).ids(texts)
+        ends = np.cumsum(sizes)
+        assert [flat[e - n : e].tolist() for e, n in zip(ends, sizes)] == [library.encode_ordinary(t) for t in texts]
+        assert [x.tolist() for x in packing.encode_texts(VOCABULARY, texts)] == [known.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "noise", lambda: np.zeros(tokens.EDGE_CHAR + 1, dtype=np.uint64))  # all pieces have one hash
+    own = tokens.Pieces(lambda words: [list(w.encode()) for w in words])
+    for texts in (["one two  three", "", "two one"], ["three four"]):
+        flat, sizes = own.ids(texts)
+        assert bytes(flat.tolist()).decode() == "".join(texts) and sizes.tolist() == [len(t) for t in texts]
+
+
 def test_packing(spark):
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(ODD)] + [(None, "x", 1), (2, " ", 9)], "doc_id long, text string, bucket int")
     rows = packing.pack(docs, VOCABULARY, max_length=64).collect()
@@ -298,6 +355,40 @@ def test_pages(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+#: Pages written by hand, with their main text; no word or layout of theirs is the generator's.
+WRITTEN = [
+    ("""<html><head><title>Bees - The Garden Post</title></head><body><div id="masthead"><a href="/">The Garden Post</a></div><ul class="main-menu"><li><a href="/n">News</a></li><li><a href="/p">Plants</a></li></ul>
+     <div class="popular-science"><h1>Why bees dance</h1><p>Bees tell each other where flowers are by a dance, which Karl von Frisch read first.</p><p>The angle of the dance is that of the sun, and its length is the way to go.</p></div>
+     <div class="newsletter-signup"><form><p>Get our letter every week!</p><input name="mail"><button>Sign up</button></form></div><footer><p>&copy; 2019 The Garden Post. All rights reserved.</p></footer></body></html>""",
+     "Why bees dance\nBees tell each other where flowers are by a dance, which Karl von Frisch read first.\nThe angle of the dance is that of the sun, and its length is the way to go."),
+    ("""<body><header><nav><a href=1>Start</a> <a href=2>Physics</a></nav></header><main><article><h1>Mass and energy</h1><p>The energy is <math><mi>E</mi></math> in all, and &lt;m&gt; stands for the mass of the body.</p>
+     <pre>E   =  m c c</pre><object data="x.svg"><p>A drawing of a moving clock, seen from the side of the road.</p></object></article><section id="comments"><h2>3 replies</h2><p>Great read, thank you so much for it!</p></section></main></body>""",
+     "Mass and energy\nThe energy is E in all, and <m> stands for the mass of the body.\nE = m c c\nA drawing of a moving clock, seen from the side of the road."),
+    ("""<html><body><div class="cookie-banner"><p>This site uses cookies to make it work. <button>Fine</button></p></div><article><h2>Soup for two</h2><p>Cut the leek, and fry it slowly in butter.</p><ul><li>One leek, washed well and cut.</li><li>Two potatoes, peeled.</li></ul>
+     <div class="ad-slot"><p>Pans at half price, today only.</p></div><p>Let all of it boil for twenty minutes<br>and serve it hot.</p></article><aside class="sidebar"><h3>Related</h3><ul><li><a href=/a>Bread in a pot</a></li><li><a href=/b>Ten pies</a></li></ul></aside></body></html>""",
+     "Soup for two\nCut the leek, and fry it slowly in butter.\nOne leek, washed well and cut.\nTwo potatoes, peeled.\nLet all of it boil for twenty minutes and serve it hot."),
+    ("""<div data-hidden="false"><article title="Hidden gems"><h1 data-x="hidden">Small museums</h1><p>Some of the best rooms of the city are behind doors that few people open.</p></article></div><div hidden><p>Sign in to go on reading this.</p></div>""",
+     "Small museums\nSome of the best rooms of the city are behind doors that few people open."),
+]
+
+
+def test_pages_written_by_hand():
+    weights, steps = html.train()
+    assert [html.main_text(page, weights, steps) for page, _ in WRITTEN] == [text for _, text in WRITTEN]
+
+
+def test_broken_and_hostile_pages_take_time_in_proportion():
+    weights, steps = html.train()
+    start = time.time()
+    for part in ("<a ", '<a "', "<a '>", "<div>", "<!--", "<script>", "<p></div>", "<script", "</p>", "<![CDATA[", "&amp", '<a href="x>', "<b x= ' y=\" >", "  ", "<div>x</p>"):
+        html.main_text(part * (300_000 // len(part)), weights, steps)
+    html.main_text("<p>x</p><img " + ' a="b"' * 100_000, weights, steps)
+    html.main_text("<div>" * 50_000 + "</p>" * 50_000, weights, steps)
+    assert time.time() - start < 60
+    assert [b.text for b in html.blocks('<p>one<img alt="a > b">two<p>three <a href="x')] == ["onetwo", 'three <a href="x']
+    assert [b.text for b in html.blocks("<p>a<script>var t='</p>'</script>b<style>p{}</style><!-- c -->d<template><p>e</p></template></p>f")] == ["abd", "f"]
+
+
 def test_page_labels_held_out():
     weights, steps = html.train()
     rng, right, n = random.Random(77), 0, 0
