@@ -9,7 +9,10 @@ neighbours at that time turns their joint distribution into its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -139,13 +142,7 @@ def _rest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     minus = lambda c: F.transform(c, lambda x: -x)
     own = nodes.select("graph_id", F.array("var_id").alias("vars"), F.array("card").alias("cards"), minus("u").alias("energies"))
     pair = edges.select("graph_id", F.array("a", "b").alias("vars"), F.array("ca", "cb").alias("cards"), minus("t").alias("energies"))
-    return own.unionByName(pair).select("graph_id", F.pmod(F.xxhash64("vars"), F.lit((1 << 31) - 1)).cast("int").alias("hash"), "vars", "cards", "energies").withColumn("factor_id", F.row_number().over(_by_graph()).cast("int")).drop("hash")
-
-
-def _by_graph():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("graph_id").orderBy("hash", "vars")
+    return own.unionByName(pair).select("graph_id", F.pmod(F.xxhash64("vars"), F.lit((1 << 31) - 1)).cast("int").alias("hash"), "vars", "cards", "energies").withColumn("factor_id", F.row_number().over(Window.partitionBy("graph_id").orderBy("hash", "vars")).cast("int")).drop("hash")
 
 
 def _solved(rest: DataFrame, solved: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -183,3 +180,64 @@ def _back(gone: DataFrame, one: DataFrame, two: DataFrame) -> tuple[DataFrame, D
     ones = one.unionByName(none).unionByName(single.select(*KEYS, "p")).unionByName(double.select(*KEYS, "p"))
     twos = two.unionByName(edge(single, "w", first["cw"], "j")).unionByName(edge(double.withColumnRenamed("a", "wa").withColumnRenamed("b", "wb"), "wa", first["cw"], "j1")).unionByName(edge(double.withColumnRenamed("a", "wa").withColumnRenamed("b", "wb"), "wb", second["cw"], "j2"))
     return cut_lineage(ones), cut_lineage(twos)
+
+
+def distances(links: DataFrame, roots: DataFrame, finish: int = FINISH, most_rounds: int = 200) -> DataFrame:
+    """graph_id, var_id, d: the length of the shortest way from any root of the graph; what no root reaches is left out.
+
+    links: graph_id, a, b, l (length); roots: graph_id, var_id. Vertices of at most two neighbours are taken out as in
+    infer(), a way through one becomes a link of its own; when at most `finish` are left, or none can be taken out, a task
+    per graph does the rest, and the others take their distance from their neighbours, round by round back.
+    """
+    edges = _shortest(links.where("a <> b").select("graph_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("l").cast("double").alias("l")))
+    edges = cut_lineage(edges)
+    ends = edges.select("graph_id", F.col("a").alias("var_id")).unionByName(edges.select("graph_id", F.col("b").alias("var_id")))
+    nodes = cut_lineage(ends.distinct().join(roots.select(*KEYS).distinct(), KEYS, "left_anti"))
+    past = []
+    for step in range(most_rounds):
+        if nodes.count() <= finish:
+            break
+        both = edges.select("graph_id", F.col("a").alias("v"), F.col("b").alias("w"), "l").unionByName(edges.select("graph_id", F.col("b").alias("v"), F.col("a").alias("w"), "l"))
+        chosen = cut_lineage(_chosen(nodes, both, step))
+        if not chosen.limit(1).count():
+            break
+        gone = cut_lineage(both.join(chosen.withColumnRenamed("var_id", "v"), ["graph_id", "v"]).groupBy("graph_id", F.col("v").alias("var_id")).agg(F.sort_array(F.collect_list(F.struct("w", "l"))).alias("e")))
+        past.append(gone)
+        first, second = F.get("e", F.lit(0)), F.get("e", F.lit(1))
+        made = gone.where(F.size("e") == 2).select("graph_id", first["w"].alias("a"), second["w"].alias("b"), (first["l"] + second["l"]).alias("l"))
+        kept = edges
+        for end in ("a", "b"):
+            kept = kept.join(chosen.withColumnRenamed("var_id", end), ["graph_id", end], "left_anti")
+        edges = cut_lineage(_shortest(kept.unionByName(made)))
+        nodes = cut_lineage(nodes.join(chosen, KEYS, "left_anti"))
+    starts = roots.select("graph_id", F.col("var_id").cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), F.lit(0.0).alias("l")).distinct()
+    known = starts.unionByName(edges.select("graph_id", F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), "l")).groupBy("graph_id").applyInPandas(_nearest, "graph_id bigint, var_id bigint, d double")
+    known = cut_lineage(known)
+    for gone in reversed(past):
+        way = gone.select(*KEYS, F.explode("e").alias("e")).select(*KEYS, F.col("e.w").alias("w"), F.col("e.l").alias("l"))
+        own = way.join(known.select("graph_id", F.col("var_id").alias("w"), "d"), ["graph_id", "w"]).groupBy(*KEYS).agg(F.min(F.col("d") + F.col("l")).alias("d"))
+        known = cut_lineage(known.unionByName(own.select("graph_id", F.col("var_id").cast("bigint").alias("var_id"), "d")))
+    return known
+
+
+def _shortest(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("graph_id", "a", "b").agg(F.min("l").alias("l"))
+
+
+def _nearest(rows: pd.DataFrame) -> pd.DataFrame:
+    """Shortest ways in one graph: rows without b are roots."""
+    near: dict[int, list[tuple[int, float]]] = {}
+    roots = rows[rows["b"].isna()]["a"].astype(int).tolist()
+    for a, b, length in rows[rows["b"].notna()][["a", "b", "l"]].itertuples(index=False):
+        near.setdefault(int(a), []).append((int(b), length))
+        near.setdefault(int(b), []).append((int(a), length))
+    found, line = {}, [(0.0, r) for r in roots]
+    heapq.heapify(line)
+    while line:
+        d, v = heapq.heappop(line)
+        if v not in found:
+            found[v] = d
+            for w, length in near.get(v, ()):
+                if w not in found:
+                    heapq.heappush(line, (d + length, w))
+    return pd.DataFrame({"graph_id": rows["graph_id"].iloc[0], "var_id": list(found), "d": list(found.values())})

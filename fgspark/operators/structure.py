@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import elimination
 
 
 def neighbours(scope: DataFrame) -> DataFrame:
@@ -63,19 +64,16 @@ def grid_shape(scope: DataFrame) -> DataFrame:
     return good.select("graph_id", F.floor(F.col("n") / F.col("step")).cast("int").alias("n_rows"), F.col("step").alias("n_columns"))
 
 
-def depths(scope: DataFrame, variable: DataFrame) -> DataFrame:
-    """graph_id, var_id, depth from the smallest variable of each component: messages go by falling depth."""
-    roots = components(scope, variable)
-    near = cut_lineage(roots.select("graph_id", "var_id", F.when(F.col("component") == F.col("var_id"), 0).alias("depth")))
-    edges = scope.select("graph_id", "factor_id", "var_id")
-    step = 0
-    while True:
-        front = edges.join(near.where(F.col("depth") == step), ["graph_id", "var_id"]).select("graph_id", "factor_id").distinct()
-        new = edges.join(front, ["graph_id", "factor_id"]).select("graph_id", "var_id").distinct().withColumn("new", F.lit(step + 1))
-        near = cut_lineage(near.join(new, ["graph_id", "var_id"], "left").select("graph_id", "var_id", F.coalesce("depth", "new").alias("depth")))
-        step += 1
-        if not near.where(F.col("depth") == step).limit(1).count():
-            return near
+def depths(scope: DataFrame, variable: DataFrame, finish: int | None = None) -> DataFrame:
+    """graph_id, var_id, depth from the smallest variable of each component: messages go by falling depth.
+
+    The rounds grow with the logarithm of a forest's size, not with its depth.
+    """
+    roots = components(scope, variable).where("component = var_id").select("graph_id", F.col("var_id").cast("bigint").alias("var_id"))
+    # variables and factors (from -1 down) are the vertices, so a step from variable to variable has length 2
+    links = scope.select("graph_id", F.col("var_id").cast("bigint").alias("a"), (-1 - F.col("factor_id").cast("bigint")).alias("b"), F.lit(0.5).alias("l"))
+    found = elimination.distances(links, roots, elimination.FINISH if finish is None else finish)
+    return found.where("var_id >= 0").select("graph_id", F.col("var_id").cast("int").alias("var_id"), F.col("d").cast("int").alias("depth"))
 
 
 def sub_graph(tables: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -51,3 +51,21 @@ def test_graphs_that_do_not_come_apart(spark):
     variable, factor = tables(spark, [Graph.of([2] * 3, [((0, 1, 2), rng.normal(size=8))])])
     with pytest.raises(ValueError, match="one and two"):
         elimination.infer(factor, variable)
+
+
+@pytest.mark.parametrize("finish", [0, 10_000])
+def test_depths_by_rounds(spark, finish):
+    """A long chain, a tree with wide factors, a loop, and a variable on its own."""
+    from fgspark.operators import energies, structure
+
+    rows = [(0, k, [k, k + 1]) for k in range(60)] + [(1, k, [max(0, (k - 1) // 2) * 2, 2 * k + 1, 2 * k + 2]) for k in range(8)] + [(2, k, [k, (k + 1) % 7]) for k in range(7)]
+    factor = spark.createDataFrame(rows, "graph_id bigint, factor_id int, vars array<int>")
+    ids = {(g, v) for g, _, vs in rows for v in vs} | {(3, 5)}
+    variable = spark.createDataFrame([(g, v, 2) for g, v in sorted(ids)], "graph_id bigint, var_id int, card int")
+    got = {(r.graph_id, r.var_id): r.depth for r in structure.depths(energies.scopes(factor, variable), variable, finish).collect()}
+    want, line = {}, [(g, min(v for h, v in ids if h == g), 0) for g in range(4)]
+    for g, v, d in line:  # breadth first
+        if (g, v) not in want:
+            want[g, v] = d
+            line += [(g, w, d + 1) for h, _, vs in rows if h == g and v in vs for w in vs]
+    assert got == {k: d for k, d in want.items()}
