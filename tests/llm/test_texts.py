@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fgspark.llm import bpe, common, html, merkle, packing, pii, resampling, tokens, toxicity
+from tests.conftest import DATA
 
 VOCABULARY, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ODD = ["", None, " ", "\n\n", "a", "it's  we'll\t\n x", "é中😀́ 12½ ²", "a<|endoftext|>b", "x" * 3000, "  lead", "trail  ", "'s's 'S", "\x1c\x85　"]
@@ -182,6 +183,31 @@ def test_resampling_of_null_ids(spark):
     assert len({r.key for r in rows}) == 3
 
 
+def brute_grams(text):
+    """Buckets of words and word pairs, one at a time."""
+    words = [zlib.crc32(w.lower().encode()) for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+    mixed = [h * 0xC2B2AE3D % 2**64 for h in words] + [((a * 0x9E3779B1 + b * 0x85EBCA77) % 2**64) ^ 0x5BD1E995 for a, b in zip(words, words[1:])]
+    return [(x >> 7) % resampling.BUCKETS for x in mixed]
+
+
+def test_resampling_against_a_plain_implementation(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    target = docs.where("doc_id % 3 = 0")
+    rows = {r.doc_id: r for r in resampling.resample(docs, target, 0.6, seed=4).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    raw, aim = np.zeros(resampling.BUCKETS), np.zeros(resampling.BUCKETS)
+    for i, t in texts.items():
+        for b in brute_grams(t):
+            raw[b] += 1
+            aim[b] += i % 3 == 0
+    ratio = np.log((aim + 1) / (aim.sum() + len(aim))) - np.log((raw + 1) / (raw.sum() + len(raw)))
+    noise = {r.doc_id: ((r.h % 2**52) + 0.5) / 2**52 for r in docs.select("doc_id", F.xxhash64(F.lit(4), "doc_id").alias("h")).collect()}
+    key = {i: sum(ratio[b] for b in brute_grams(t)) - np.log(-np.log(noise[i])) for i, t in texts.items()}
+    assert {i: r.key for i, r in rows.items()} == pytest.approx(key, abs=1e-6)
+    best = set(sorted(key, key=lambda i: -rows[i].key)[: int(0.6 * len(key))])
+    assert {i for i, r in rows.items() if r.kept} == best
+
+
 def test_resampling(spark):
     rng = random.Random(2)
     good, bad = [f"g{i}" for i in range(50)], [f"b{i}" for i in range(50)]
