@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from .functions import tables as T
 from .kernels import decompose
+from .kernels.graph import Graph
 from .learn import optim, rbf
 from .learn.priors import Laplace, Normal, StudentT
-from .learn.training import Model, Type, instances, train
+from .learn.training import Model, Type, expectation_maximization, instances, train
 from .operators import conditioning as C
 from .operators import elimination
 from .operators import energies as E
@@ -22,7 +23,7 @@ from .operators import structure as S
 from .plans import graphs as P
 from .queries import ORACLE_SQL as _EXACT_SQL
 from .queries import _EVENTS, _ORDERS, _SITES, _VECTORS, _W, CHAIN, ORDER_COLUMNS, TRIANGLE, _geography, _marginals, _orders, _six
-from .session import folder
+from .session import cut_lineage, folder
 from .sources import build, fge
 
 _ZERO = "graph_id bigint, var_id int, state int"
@@ -335,6 +336,24 @@ def _held_map(method: str, **options):
     return query
 
 
+def fm_own_tables_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The triangle as factors that bring their own tables to types without weights."""
+    variable, factor = _orders(spark, d)
+    cards = [r.card for r in variable.orderBy("var_id").collect()]
+    types = build.model(spark, [build.table(f"t{k}", [cards[v] for v in scope]) for k, scope in enumerate(TRIANGLE)])
+    rows = factor.select("graph_id", "factor_id", F.concat(F.lit("t"), F.col("factor_id").cast("string")).alias("type"), "vars", F.col("energies").alias("data"), F.lit(None).cast("array<int>").alias("data_idx"))
+    return _six(E.energy_rows(E.energy_tables(rows, types)).drop("graph_id"), "energy")
+
+
+def st_schedule_geography(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of region 0's part of the nations' forest, along one closed walk."""
+    rows = P.table(spark, d, "nation").select("n_regionkey", "n_nationkey").collect()  # the nations
+    regions = max(r.n_regionkey for r in rows) + 1
+    graph = Graph([2] * (regions + len(rows)), [((r.n_regionkey, regions + i), np.zeros((2, 2))) for i, r in enumerate(rows)])
+    steps = decompose.message_schedule(graph, 0)
+    return spark.createDataFrame([(len(steps), len(set(steps)) == len(steps) and all(a[1] == b[0] for a, b in zip(steps, steps[1:])))], "n bigint, is_walk boolean")
+
+
 def _learned(objective: str, **options):
     """Weights of a pair table fitted to the documents' labels: the chances they give, which are the shares of the counts."""
 
@@ -342,8 +361,9 @@ def _learned(objective: str, **options):
         rows = P.table(spark, d, "labels").where("quality is not null and toxic is not null")
         factor = rows.select(F.col("doc_id").alias("graph_id"), F.lit(0).alias("factor_id"), F.lit("pair").alias("type"), F.array(F.lit(0), F.lit(1)).alias("vars"), F.expr("cast(array() as array<double>)").alias("data"))
         states = rows.select(F.col("doc_id").alias("graph_id"), F.posexplode(F.array("quality", "toxic")).alias("var_id", "state"))
-        data = instances(factor, states)
-        model, _ = train(data, Model([Type("pair", [2, 2])]), objective, **options)
+        data = cut_lineage(instances(factor, states))  # read by every evaluation
+        model = Model([Type("pair", [2, 2])])
+        model, _ = expectation_maximization(data, model, max_iter=3, inner=40) if objective == "em" else train(data, model, objective, **options)
         p = np.exp(-model.weights) / np.exp(-model.weights).sum()
         return spark.createDataFrame([(i, round(float(x), 2) + 0.0) for i, x in enumerate(p)], "ei int, p double")
 
@@ -434,6 +454,8 @@ ORACLE_SQL = {
     "io_violations_embeddings": "WITH e AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL), p AS (SELECT 'data very large' AS problem FROM e WHERE list_bool_or(list_transform(embedding, lambda x: abs(x::DOUBLE) >= 0.3)) UNION ALL SELECT 'cardinality' FROM e WHERE vec_id % 2 <> 0 UNION ALL SELECT 'state out of range' FROM e WHERE label >= CASE WHEN vec_id % 2 = 0 THEN 10 ELSE 5 END) SELECT problem, count(*) AS n FROM p GROUP BY problem",
     "in_swendsen_wang_labels": _LABELS,
     "in_tree_samples_labels": _LABELS,
+    "fm_own_tables_orders": _EXACT_SQL["fm_count_energies"],
+    "st_schedule_geography": "SELECT CAST(4 * count(*) AS BIGINT) AS n, true AS is_walk FROM nation WHERE n_regionkey = 0",
     "st_acyclic_orders": f"WITH {_ORDERS}, w AS (SELECT factor_id, max(e) - min(e) AS w FROM cells GROUP BY factor_id) SELECT rule, CAST(factor_id AS INTEGER) AS factor_id, w = (SELECT max(w) FROM w) AS kept FROM w, (VALUES ('greedy'), ('packed'), ('exact'), ('annealed')) t(rule)",
     "in_elimination_events": "",
     "in_forest_geography": """WITH c AS (SELECT c_nationkey AS n, ln(1 + exp(-0.2 - c_acctbal::DOUBLE / 10000)) AS m0, ln(exp(-0.2) + exp(-c_acctbal::DOUBLE / 10000)) AS m1 FROM customer),
@@ -456,7 +478,7 @@ QUERIES = {
         co_graph_orders, co_constant_orders, co_extend_orders, co_project_orders, co_types_events, fm_conditioned_events, bm_conditioned_events, ev_change_events, ev_dispatch_events, ev_batch_orders,
         sc_expand_orders, sc_total_correlation_orders, sc_place_events, fm_sparse_embeddings, bm_sparse_embeddings, bm_tied_embeddings, bm_rbf_embeddings, rb_centers_embeddings, rb_regression_lineitem,
         dv_kl_sampled_orders, ls_augmented_events, st_subgraph_orders, st_depths_geography, st_grid_geography, io_saved_orders, io_model_embeddings, io_print_orders, io_violations_embeddings,
-        in_swendsen_wang_labels, in_tree_samples_labels, st_acyclic_orders, in_elimination_events, in_forest_geography, pr_priors_lineitem, op_least_squares_lineitem,
+        fm_own_tables_orders, st_schedule_geography, in_swendsen_wang_labels, in_tree_samples_labels, st_acyclic_orders, in_elimination_events, in_forest_geography, pr_priors_lineitem, op_least_squares_lineitem,
     )
 }
 
@@ -475,5 +497,9 @@ for _name, _query in (
     ("in_map_annealing_orders", _held_map("mapsa", seed=3)), ("in_map_diffusion_orders", _held_map("mapmsd")), ("in_map_bp_orders", _held_map("mapbp")), ("in_map_lp_orders", _held_map("maplp")),
 ):
     QUERIES[_name], ORACLE_SQL[_name] = _query, f"WITH {_ORDERS}, best AS (SELECT * FROM joint ORDER BY e3, s2, s1, s0 LIMIT 1) SELECT CAST(i AS INTEGER) AS var_id, CAST(CASE i WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END AS INTEGER) AS state, round(e3, 6) + 0.0 AS energy FROM best, (VALUES (0), (1), (2)) t(i)"
-for _name, _query in (("ln_mle_labels", _learned("mle", max_iter=40)), ("ln_mple_labels", _learned("mple", max_iter=60)), ("ln_piecewise_labels", _learned("npw", max_iter=40)), ("ln_composite_labels", _learned("mcle", max_iter=40))):
+for _name, _query in (
+    ("ln_mle_labels", _learned("mle", max_iter=40)), ("ln_mple_labels", _learned("mple", max_iter=60)), ("ln_piecewise_labels", _learned("npw", max_iter=40)), ("ln_composite_labels", _learned("mcle", max_iter=40)),
+    ("ln_random_covers_labels", _learned("mcle", max_iter=40, cover=2)), ("ln_criss_cross_labels", _learned("mccle", max_iter=40)), ("ln_tree_pseudo_labels", _learned("mtple", max_iter=60, given=[[0], [1]])),
+    ("ln_mle_barzilai_borwein_labels", _learned("mle", method="bb", max_iter=60)), ("ln_mle_fista_labels", _learned("mle", method="fista", max_iter=16)), ("ln_em_labels", _learned("em")),
+):
     QUERIES[_name], ORACLE_SQL[_name] = _query, _LEARNED
