@@ -92,9 +92,10 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     n = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_keys = rows.select("__key").repartitionByRange(n, "__key")
     first = sorted(r.k for r in sorted_keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min("__key").alias("k")).collect()) or [""]
-    bounds, step = F.array(*map(F.lit, first)), max(1, int(len(first) ** 0.5))
-    below = lambda listed: F.size(F.filter(listed, lambda b: b <= F.col("__key")))
-    coarse = below(F.array(*map(F.lit, first[::step]))) - 1
+    listed, step = lambda keys: F.split(F.lit(" ".join(keys)), " "), max(1, int(len(first) ** 0.5))  # noqa: E731  one literal, however many
+    bounds = listed(first)
+    below = lambda keys: F.size(F.filter(keys, lambda b: b <= F.col("__key")))
+    coarse = below(listed(first[::step])) - 1
     rows = rows.withColumn("__coarse", F.greatest(coarse, F.lit(0)))
     rows = rows.withColumn("__range", F.col("__coarse") * step + below(F.slice(bounds, F.col("__coarse") * step + 1, F.lit(step))) - 1).drop("__coarse")
     row = F.struct(*columns)
