@@ -93,17 +93,24 @@ def utf8(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """The binary column in runs of rows of about `most` bytes (one row at least): (first row, values)."""
-    values = batch.column(column)
-    ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+def runs(values: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of runs of rows of about `most` bytes, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths.astype(np.int64) + 1)
     first, before = 0, 0
     while first < len(values):
         last = min(int(np.searchsorted(ends, before + most)), len(values) - 1)
-        yield first, values.slice(first, last + 1 - first).to_pylist()
+        yield first, last + 1
         first, before = last + 1, int(ends[last])
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """The binary column in runs of rows of about `most` bytes (one row at least): (first row, values)."""
+    values = batch.column(column)
+    for first, end in runs(values, most):
+        yield first, values.slice(first, end - first).to_pylist()
+
+
 def settle() -> None:
     """Gives what a Python worker has freed back to the system; workers are kept between tasks and add up."""
     gc.collect()

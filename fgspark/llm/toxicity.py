@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import moebius_scan, settle
+from .common import moebius_scan, runs, settle
 
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5, 6)
@@ -20,7 +20,7 @@ THRESHOLD = 0.7
 #: Bounds of the sample that the tagger is fitted on: labelled rows of each kind, and characters of a row.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 1000, 2000, 3000
 #: Words that the score cache holds before it starts anew.
-CACHED = 150_000
+CACHED = 100_000
 
 
 def features(word: str) -> list[str]:
@@ -178,7 +178,7 @@ def score_column(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans:
     words that are likelier toxic than not.
 
     Null and empty texts score 0 and have no spans. Offsets count code points. A text is scored whole; texts are taken
-    together up to about a million characters.
+    together up to about a megabyte.
     """
     shared = docs.sparkSession.sparkContext.broadcast((tagger.weights, tagger.steps, tagger.bias))
     span_type = "array<struct<start:int,end:int,p:float>>"
@@ -198,23 +198,18 @@ def score_column(docs: DataFrame, tagger: Tagger, text_col: str = "text", spans:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Tagger(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.to_pylist()]
-            scores, found, at = [], [], 0
-            while at < len(texts):
-                size, stop = 0, at
-                while stop < len(texts) and (stop == at or size < 1 << 20):
-                    size += len(texts[stop])
-                    stop += 1
-                _, ends, p = model.marginals(texts[at:stop])
+            scores, found = [], []
+            for first, stop in runs(batch, 1 << 20):
+                texts = [t or "" for t in batch.slice(first, stop - first).to_pylist()]
+                _, ends, p = model.marginals(texts)
                 begin = 0
-                for text, end in zip(texts[at:stop], ends.tolist()):
+                for text, end in zip(texts, ends.tolist()):
                     own = p[begin:end]
                     top = float(own.max()) if len(own) else 0.0
                     scores.append(top)
                     if spans:
                         found.append([dict(zip(("start", "end", "p"), s)) for s in offsets(text, own)] if top >= 0.5 else [])
                     begin = end
-                at = stop
             out = pa.array(scores, pa.float64())
             if spans:
                 out = pa.StructArray.from_arrays([out, pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float32())])))], names=["score", "spans"])
