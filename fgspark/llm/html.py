@@ -43,7 +43,7 @@ PARTS = {
 }
 PART_OF = {w: k for k, words in PARTS.items() for w in words.split()}
 #: Words that such names are put together with. Fixed values.
-LAYOUT = set("box wrap wrapper block container inner outer area list item link links row col column left right top bottom content section panel".split())
+LAYOUT = set("box wrap wrapper block container inner outer area list item link links row col column left right top bottom content section panel slot unit zone strip bar holder region space".split())
 
 
 class Block:
@@ -295,9 +295,15 @@ def labelled_page(rng: random.Random) -> list[tuple[Block, int]]:
     return rows
 
 
+def alike(found: list[Block]) -> list[int]:
+    """For each block after the first, whether it has the same ancestors' features as the one before."""
+    return [int(b.above == a.above) for a, b in zip(found, found[1:])]
+
+
 @cache
 def train(pages: int = 1500, rounds: int = 120, seed: int = 11, rate: float = 0.15, decay: float = 0.02) -> tuple[dict[str, float], np.ndarray]:
-    """(weight of label 1 by feature, 2x2 step weights), fitted by maximum likelihood on made pages with known labels."""
+    """(weight of label 1 by feature, step weights by alike(), label and next label), fitted by maximum likelihood on made
+    pages with known labels."""
     rng = random.Random(seed)
     made = [rows for _ in range(pages) if (rows := labelled_page(rng))]
     index: dict[str, int] = {}
@@ -306,33 +312,36 @@ def train(pages: int = 1500, rounds: int = 120, seed: int = 11, rate: float = 0.
     y = np.array([v for rows in made for _, v in rows])
     sizes = np.array([len(rows) for rows in made])
     most, ends = sizes.max(), np.cumsum(sizes)
-    place = np.full((len(made), most), -1)
+    place, same = np.full((len(made), most), -1), np.zeros((len(made), most - 1), dtype=int)
     for k, (e, n) in enumerate(zip(ends, sizes)):
         place[k, :n] = np.arange(e - n, e)
+        same[k, : n - 1] = alike([b for b, _ in made[k]])
     real = place >= 0
-    w, steps = np.zeros(len(index)), np.zeros((2, 2))
-    state = [np.zeros_like(w), np.zeros_like(w), np.zeros((2, 2)), np.zeros((2, 2))]
     both = real[:, 1:]
-    seen = np.array([[((y[place[:, :-1]] == a) & (y[place[:, 1:]] == b) & both).sum() for b in (0, 1)] for a in (0, 1)], dtype=float)
+    kind = [both & (same == s) for s in (0, 1)]
+    w, steps = np.zeros(len(index)), np.zeros((2, 2, 2))
+    state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(steps), np.zeros_like(steps)]
+    label, after = y[place[:, :-1]], y[place[:, 1:]]
+    seen = np.array([[[((label == a) & (after == b) & k).sum() for b in (0, 1)] for a in (0, 1)] for k in kind], dtype=float)
     for k in range(1, rounds + 1):
         e = np.bincount(owner, weights=w[feature], minlength=len(feats))
-        grid = np.zeros((len(made), most, 2))
+        grid, move = np.zeros((len(made), most, 2)), steps[same]
         grid[..., 1] = np.where(real, e[place], 0)
         forward, backward = np.zeros_like(grid), np.zeros_like(grid)
         forward[:, 0] = grid[:, 0]
         for t in range(1, most):
-            forward[:, t] = grid[:, t] + np.logaddexp(forward[:, t - 1, 0, None] + steps[0], forward[:, t - 1, 1, None] + steps[1])
+            forward[:, t] = grid[:, t] + np.logaddexp(forward[:, t - 1, 0, None] + move[:, t - 1, 0], forward[:, t - 1, 1, None] + move[:, t - 1, 1])
         for t in range(most - 2, -1, -1):
             ahead = grid[:, t + 1] + backward[:, t + 1]
-            there = np.logaddexp(steps[:, 0] + ahead[:, 0, None], steps[:, 1] + ahead[:, 1, None])
+            there = np.logaddexp(move[:, t, :, 0] + ahead[:, 0, None], move[:, t, :, 1] + ahead[:, 1, None])
             backward[:, t] = np.where(real[:, t + 1, None], there, 0)
         total = forward + backward
         p = 1 / (1 + np.exp(np.clip(total[..., 0] - total[..., 1], -50, 50)))
-        pair = forward[:, :-1, :, None] + steps + (grid + backward)[:, 1:, None, :]
+        pair = forward[:, :-1, :, None] + move + (grid + backward)[:, 1:, None, :]
         pair = np.exp(pair - pair.max(axis=(2, 3), keepdims=True))
         pair /= pair.sum(axis=(2, 3), keepdims=True)
         gw = np.bincount(feature, weights=(p[real] - y[place[real]])[owner], minlength=len(index)) + decay * w
-        gs = (pair * both[..., None, None]).sum(axis=(0, 1)) - seen + decay * steps
+        gs = np.array([(pair * x[..., None, None]).sum(axis=(0, 1)) for x in kind]) - seen + decay * steps
         for target, g, j in ((w, gw, 0), (steps, gs, 2)):
             state[j] = 0.9 * state[j] + 0.1 * g
             state[j + 1] = 0.99 * state[j + 1] + 0.01 * g * g
@@ -340,14 +349,14 @@ def train(pages: int = 1500, rounds: int = 120, seed: int = 11, rate: float = 0.
     return {f: float(w[i]) for f, i in index.items()}, steps
 
 
-def viterbi(emission: list[float], steps: np.ndarray) -> list[int]:
+def viterbi(emission: list[float], steps: np.ndarray, same: list[int]) -> list[int]:
     """The likeliest labels; label 0 weighs nothing at a block, label 1 its emission. Of equals, 0."""
-    (s00, s01), (s10, s11) = steps.tolist()
-    a, b, back = 0.0, 0.0, []
+    moves, a, b, back = steps.tolist(), 0.0, 0.0, []
     for i, e in enumerate(emission):
         if not i:
             a, b = 0.0, e
             continue
+        (s00, s01), (s10, s11) = moves[same[i - 1]]
         to0, to1 = b + s10 > a + s00, b + s11 > a + s01
         back.append((to0, to1))
         a, b = (b + s10 if to0 else a + s00), (b + s11 if to1 else a + s01) + e
@@ -359,10 +368,13 @@ def viterbi(emission: list[float], steps: np.ndarray) -> list[int]:
     return out[::-1]
 
 
+def labels(found: list[Block], weights: dict[str, float], steps: np.ndarray) -> list[int]:
+    return viterbi([sum(weights.get(f, 0.0) for f in row) for row in features(found)], steps, alike(found))
+
+
 def main_text(page: str, weights: dict[str, float], steps: np.ndarray) -> str:
     found = blocks(page)
-    emission = [sum(weights.get(f, 0.0) for f in row) for row in features(found)]
-    return "\n".join(b.text for b, y in zip(found, viterbi(emission, steps)) if y)
+    return "\n".join(b.text for b, y in zip(found, labels(found, weights, steps)) if y)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
