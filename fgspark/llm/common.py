@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A session setting: shuffle files go at the end of the query that made them, not at some later collection.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Session settings while a table is written: shuffle files go at the end of the query that made them, not at some later
+#: collection; batches for Python are smaller than by default (64 MB), as an executor holds several of each.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -32,14 +33,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def shuffles_go(spark: SparkSession) -> Iterator[None]:
+def writing(spark: SparkSession) -> Iterator[None]:
     """Queries that run inside leave no shuffle files behind; what they write must be all that is needed of them."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, *, instead_of: tuple[DataFrame, ...] = ()) -> DataFrame:
@@ -49,7 +52,7 @@ def written(df: DataFrame, *, instead_of: tuple[DataFrame, ...] = ()) -> DataFra
     """
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/table-{uuid.uuid4()}"
-    with shuffles_go(spark):
+    with writing(spark):
         df.write.option("compression", "zstd").parquet(folder)
     forget(*instead_of)
     found = spark.read.schema(df.schema).parquet(folder)
