@@ -63,14 +63,19 @@ def packed(tables: DataFrame, variable: DataFrame) -> DataFrame:
     return tables.join(cards, ["graph_id", "factor_id"]).select("graph_id", "factor_id", "vars", "cards", "energies")
 
 
-def infer(graphs: DataFrame, method: str, **options) -> DataFrame:
+def infer(graphs: DataFrame, method: str, proven: bool = False, **options) -> DataFrame:
     """graphs: rows of packed(). Marginals come as graph_id, factor_id, ei, p, log_z (null where a method has none);
-    labelings (methods map...) as graph_id, var_id, state, energy. A graph must fit in one task."""
+    labelings (methods map...) as graph_id, var_id, state, energy. A graph must fit in one task.
+
+    proven: a labeling goes on by branch and bound till none is better (of equal ones the first with the smallest variable
+    fastest), which takes long on large graphs where the method's bounds are loose."""
     if method in MAP_METHODS:
 
         def label(rows: pd.DataFrame) -> pd.DataFrame:
             graph, ids, _ = _graph(rows)
             state, energy = MAP_METHODS[method](graph, **options)
+            if proven:
+                state, energy = approximate.proven_map(graph, state)
             return pd.DataFrame({"graph_id": rows["graph_id"].iloc[0], "var_id": ids, "state": state, "energy": energy})
 
         return graphs.groupBy("graph_id").applyInPandas(label, schema.STATE)
