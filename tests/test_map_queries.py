@@ -37,3 +37,7 @@ def test_proven_from_anywhere():
     for _ in range(20):
         graph = Graph([3, 2, 4, 3], [(s, rng.integers(-2, 3, [[3, 2, 4, 3][v] for v in s]).astype(float)) for s in ((0, 1), (1, 2, 3), (0, 3), (2,), (0, 2))])
         assert approximate.proven_map(graph, [int(rng.integers(0, c)) for c in graph.cards]) == enumerate_map(graph)
+
+
+def test_diffusion(spark, small):
+    _same(spark, small, "in_map_diffusion_orders")
