@@ -36,6 +36,8 @@ MAP_METHODS = {
     "maplp": lambda g, **o: approximate.dual_decomposition_map(g, **o)[:2],
     "mapsa": lambda g, **o: sampling.simulated_annealing(g, **o),
 }
+#: Lower bounds by which a method's labeling is proven, for those that do without min-sum diffusion's.
+BOUNDS = {"maplp": lambda g: approximate.dual_decomposition_map(g)[2]}
 
 
 def acyclic_cut(graph: Graph) -> set[int]:
@@ -75,7 +77,7 @@ def infer(graphs: DataFrame, method: str, proven: bool = False, **options) -> Da
             graph, ids, _ = _graph(rows)
             state, energy = MAP_METHODS[method](graph, **options)
             if proven:
-                state, energy = approximate.proven_map(graph, state)
+                state, energy = approximate.proven_map(graph, state, *([BOUNDS[method]] if method in BOUNDS else []))
             return pd.DataFrame({"graph_id": rows["graph_id"].iloc[0], "var_id": ids, "state": state, "energy": energy})
 
         return graphs.groupBy("graph_id").applyInPandas(label, schema.STATE)

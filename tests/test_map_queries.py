@@ -41,3 +41,11 @@ def test_proven_from_anywhere():
 
 def test_diffusion(spark, small):
     _same(spark, small, "in_map_diffusion_orders")
+
+
+def test_dual_decomposition(spark, small):
+    _same(spark, small, "in_map_lp_orders")
+
+
+def test_min_sum(spark, small):
+    _same(spark, small, "in_map_bp_orders")
