@@ -5,13 +5,20 @@ adds to log Z, one with a single neighbour adds a message to it, one with two le
 forest has many such variables, so the rounds grow with the logarithm of its size, a chain of any length included; so do
 those of loopy graphs that such steps take apart (treewidth 2). Backwards, each variable's distribution given its
 neighbours at that time turns their joint distribution into its own.
+
+Where log Z alone is asked for, a first round takes out more: variables are dealt in blocks of consecutive numbers, and
+a task takes all that it can out of each block, but for variables with neighbours in other blocks. What a block leaves
+goes through the rounds of joins.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +28,9 @@ from . import grouped
 KEYS = ["graph_id", "var_id"]
 #: Variables that are left when the rest of all graphs goes to the grouped method, a graph a task.
 FINISH = 10_000
+#: A block of the first round has 2^BLOCK_BITS consecutive variable numbers of a graph.
+BLOCK_BITS = 10
+_PARTS = "graph_id long, block long, kind int, a int, b int, ca int, cb int, t array<double>"
 
 
 def _lse(x: Column) -> Column:
@@ -59,6 +69,113 @@ def _start(tables: DataFrame, variable: DataFrame) -> tuple[DataFrame, DataFrame
     return nodes, _merged(two)
 
 
+def _lse_last(x: np.ndarray) -> np.ndarray:
+    top = x.max(axis=-1)
+    with np.errstate(divide="ignore"):
+        return np.where(np.isneginf(top), top, np.log(np.exp(x - np.where(np.isneginf(top), 0.0, top)[..., None]).sum(axis=-1)) + top)
+
+
+class _Block:
+    """The scores of a block's variables and of its pairs, which are taken out one by one."""
+
+    def __init__(self) -> None:
+        self.own: dict[int, np.ndarray] = {}
+        self.near: dict[int, dict[int, np.ndarray]] = {}  # near[v][w]: a row per state of w, v's states along it
+        self.held: set[int] = set()
+
+    def add(self, kind: int, a: int, b: int, ca: int, cb: int, t: np.ndarray) -> None:
+        if kind == 3:
+            self.held.add(a)
+        elif kind == 2:
+            self.link(a, b, t.reshape(cb, ca))
+        else:
+            self.own[a] = self.own[a] + t if a in self.own else t
+
+    def link(self, a: int, b: int, t: np.ndarray) -> None:
+        """t: a row per state of b."""
+        of_a, of_b = self.near.setdefault(a, {}), self.near.setdefault(b, {})
+        of_a[b] = of_a[b] + t if b in of_a else t
+        of_b[a] = of_a[b].T
+
+    def rest(self) -> tuple[float | None, list[tuple]]:
+        """(sum of the constants, None if there is none; variables and pairs that stay, as rows from kind on)."""
+        constant, line = None, sorted(self.own.keys() - self.held, reverse=True)
+        while line:
+            v = line.pop()
+            links = self.near.get(v, {})
+            if v not in self.own or len(links) > 2:
+                continue  # gone, or to come again when it has lost a neighbour
+            u = self.own.pop(v)
+            self.near.pop(v, None)
+            for w in links:
+                del self.near[w][v]
+            if not links:
+                constant = (constant or 0.0) + float(_lse_last(u))
+            elif len(links) == 1:
+                ((w, x),) = links.items()
+                self.own[w] = self.own[w] + _lse_last(x + u)
+            else:
+                (w, x), (y, z) = links.items()
+                self.link(w, y, _lse_last(z[:, None, :] + (x + u)[None, :, :]))
+            line += [w for w in links if w not in self.held and len(self.near[w]) <= 2]
+        ones = [(0, v, v, len(u), 1, u) for v, u in self.own.items()]
+        return constant, ones + [(2, a, b, t.shape[1], t.shape[0], t.ravel()) for a, x in self.near.items() for b, t in x.items() if a < b]
+
+
+def _without_inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _PARTS, sorted by graph and block: kind 0 a variable, 1 a score of its states, 2 a pair, 3 one to be held.
+    Returns variables and pairs that stay (0, 2), and constants (4)."""
+    at, block, out = None, _Block(), []
+
+    def done() -> list[tuple]:
+        constant, rows = block.rest()
+        return [(*at, *r) for r in rows] + ([(*at, 4, 0, 0, 1, 1, np.array([constant]))] if constant is not None else [])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        sizes = np.cumsum([0, *(len(r[-1]) for r in rows)])
+        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([np.zeros(0), *(r[-1] for r in rows)])))
+        types = [pa.int64()] * 2 + [pa.int32()] * 5
+        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, t in enumerate(types)), lists], names=["graph_id", "block", "kind", "a", "b", "ca", "cb", "t"])
+
+    for batch in batches:
+        t = batch.column(7)
+        values, ends = t.values.to_numpy(), t.offsets.to_numpy()
+        for g, k, kind, a, b, ca, cb, start, end in zip(*(batch.column(i).to_pylist() for i in range(7)), ends[:-1].tolist(), ends[1:].tolist()):
+            if (g, k) != at:
+                if at is not None:
+                    out += done()
+                at, block = (g, k), _Block()
+                if len(out) > 10_000:
+                    yield batch_of(out)
+                    out = []
+            block.add(kind, a, b, ca, cb, values[start:end] if kind else np.zeros(ca))
+    yield batch_of(out + (done() if at is not None else []))
+
+
+def _blocks_out(tables: DataFrame, variable: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What _start() gives, after the round of blocks, and its constants: graph_id, z."""
+    rows = grouped.packed(tables, variable)
+    first, second = F.get("vars", F.lit(0)), F.get("vars", F.lit(1))
+    ca, cb = F.get("cards", F.lit(0)), F.get("cards", F.lit(1))
+    two = F.size("vars") == 2
+    fits = F.when(F.size("vars").between(1, 2), F.transform("energies", lambda e: -e)).otherwise(F.raise_error(F.lit("factors of one and two variables are needed")).cast("array<double>"))
+    block = lambda v: F.shiftright(v.cast("long"), BLOCK_BITS)
+    none, one = F.expr("cast(array() as array<double>)"), F.lit(1)
+    scores = rows.select("graph_id", F.size("vars").alias("kind"), first.alias("a"), F.coalesce(second, first).alias("b"), ca.alias("ca"), F.coalesce(cb, one).alias("cb"), fits.alias("t"))
+    across = rows.where(two & (block(first) != block(second)))
+    ends = across.select("graph_id", F.explode("vars").alias("a")).distinct()
+    part = lambda df, kind, t, ca="ca": df.select(F.col("graph_id").cast("long").alias("graph_id"), block(F.col("a")).alias("block"), F.lit(kind).alias("kind"), F.col("a").cast("int").alias("a"), F.col("a").cast("int").alias("b"), F.col(ca).cast("int").alias("ca") if ca else one.alias("ca"), one.alias("cb"), t.alias("t"))
+    parts = part(variable.withColumnRenamed("var_id", "a"), 0, none, "card").unionByName(part(ends, 3, none, None))
+    parts = parts.unionByName(scores.where(block(F.col("a")) == block(F.col("b"))).select("graph_id", block(F.col("a")).alias("block"), "kind", *[F.col(c).cast("int").alias(c) for c in ("a", "b", "ca", "cb")], "t"))
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = cut_lineage(parts.repartition(n, "graph_id", "block").sortWithinPartitions("graph_id", "block", "kind").mapInArrow(_without_inner, _PARTS))
+    up, minus = first < second, F.transform("energies", lambda e: -e)
+    wide = across.select("graph_id", F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), F.when(up, ca).otherwise(cb).alias("ca"), F.when(up, cb).otherwise(ca).alias("cb"), F.when(up, minus).otherwise(_turned(minus, ca, cb)).alias("t"))
+    nodes = left.where("kind = 0").select("graph_id", F.col("a").alias("var_id"), F.col("ca").alias("card"), F.col("t").alias("u"))
+    edges = _merged(left.where("kind = 2").select("graph_id", "a", "b", "ca", "cb", "t").unionByName(wide))
+    return nodes, edges, left.where("kind = 4").select("graph_id", F.get("t", F.lit(0)).alias("z"))
+
+
 def _merged(edges: DataFrame) -> DataFrame:
     return _summed(edges, ["graph_id", "a", "b", "ca", "cb"], "t")
 
@@ -100,8 +217,13 @@ def infer(tables: DataFrame, variable: DataFrame, finish: int = FINISH, marginal
     the rest goes to the grouped exact method, whose graphs have to be forests; 0 goes on to the end. Graphs that
     elimination by two neighbours can't take apart raise an error.
     """
-    nodes, edges = (cut_lineage(x) for x in _start(tables, variable))
-    given, past, constants = edges.select("graph_id", "a", "b"), [], []
+    if marginals:
+        (nodes, edges), constants = _start(tables, variable), []
+    else:
+        nodes, edges, constant = _blocks_out(tables, variable)
+        constants = [constant]
+    nodes, edges = cut_lineage(nodes), cut_lineage(edges)
+    given, past = edges.select("graph_id", "a", "b"), []
     for step in range(most_rounds):
         left = nodes.count()
         if left <= finish:

@@ -69,3 +69,25 @@ def test_depths_by_rounds(spark, finish):
             want[g, v] = d
             line += [(g, w, d + 1) for h, _, vs in rows if h == g and v in vs for w in vs]
     assert got == {k: d for k, d in want.items()}
+
+
+@pytest.mark.parametrize("bits", [0, 1, 2, 10])
+def test_blocks_without_marginals(spark, monkeypatch, bits):
+    """log Z alone: trees, loops, repeated and turned factors, an impossible state, a lone variable, for blocks of all sizes."""
+    monkeypatch.setattr(elimination, "BLOCK_BITS", bits)
+    rng = np.random.default_rng(14)
+    made = graphs(rng)
+    made.append(Graph.of([2, 2, 3, 2, 2], [((0, 1), rng.normal(size=4)), ((1, 2), rng.normal(size=6)), ((2, 3), rng.normal(size=6)), ((0, 3), rng.normal(size=4)), ((1, 0), rng.normal(size=4)), ((2,), rng.normal(size=3))]))
+    made.append(Graph.of([3, 2, 2], [((2, 0), [0.1, np.inf, 0.4, 0.2, np.inf, 0.3]), ((1,), [np.inf, 0.2]), ((0, 1), rng.normal(size=6))]))
+    variable, factor = tables(spark, made)
+    if not bits:  # the kernel's part is then small, the rounds of joins do the rest
+        assert elimination._blocks_out(factor, variable)[0].count() > 10
+    got = {r.graph_id: r.log_z for r in elimination.infer(factor, variable, finish=0, marginals=False)[0].collect()}
+    assert got == pytest.approx({g: exact.enumerate_all(x).log_z for g, x in enumerate(made)})
+
+
+def test_blocks_of_events_need_no_rounds(spark):
+    """Chains of the events' length go in the first round; it took ten rounds of joins and more before."""
+    variable, factor = tables(spark, [Graph.of([5] * 60, [((i, i + 1), np.arange(25) / 7) for i in range(59)]) for _ in range(3)])
+    nodes, edges, constant = elimination._blocks_out(factor, variable)
+    assert nodes.count() == edges.count() == 0 and constant.count() == 3
