@@ -82,10 +82,13 @@ class _Block:
         self.own: dict[int, np.ndarray] = {}
         self.near: dict[int, dict[int, np.ndarray]] = {}  # near[v][w]: a row per state of w, v's states along it
         self.held: set[int] = set()
+        self.across: list[tuple] = []
 
     def add(self, kind: int, a: int, b: int, ca: int, cb: int, t: np.ndarray) -> None:
-        if kind == 3:
+        if kind >= 3:
             self.held.add(a)
+            if kind == 5:
+                self.across.append((kind, a, b, ca, cb, t))
         elif kind == 2:
             self.link(a, b, t.reshape(cb, ca))
         else:
@@ -119,12 +122,12 @@ class _Block:
                 self.link(w, y, _lse_last(z[:, None, :] + (x + u)[None, :, :]))
             line += [w for w in links if w not in self.held and len(self.near[w]) <= 2]
         ones = [(0, v, v, len(u), 1, u) for v, u in self.own.items()]
-        return constant, ones + [(2, a, b, t.shape[1], t.shape[0], t.ravel()) for a, x in self.near.items() for b, t in x.items() if a < b]
+        return constant, self.across + ones + [(2, a, b, t.shape[1], t.shape[0], t.ravel()) for a, x in self.near.items() for b, t in x.items() if a < b]
 
 
 def _without_inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _PARTS, sorted by graph and block: kind 0 a variable, 1 a score of its states, 2 a pair, 3 one to be held.
-    Returns variables and pairs that stay (0, 2), and constants (4)."""
+    """Rows of _PARTS, sorted by graph and block: kind 0 a variable, 1 a score of its states, 2 a pair, 3 one to be held,
+    5 a pair of two blocks, in that of its first. Returns variables and pairs that stay (0, 2, 5), and constants (4)."""
     at, block, out = None, _Block(), []
 
     def done() -> list[tuple]:
@@ -154,25 +157,29 @@ def _without_inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _blocks_out(tables: DataFrame, variable: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What _start() gives, after the round of blocks, and its constants: graph_id, z."""
-    rows = grouped.packed(tables, variable)
     first, second = F.get("vars", F.lit(0)), F.get("vars", F.lit(1))
     ca, cb = F.get("cards", F.lit(0)), F.get("cards", F.lit(1))
-    two = F.size("vars") == 2
-    fits = F.when(F.size("vars").between(1, 2), F.transform("energies", lambda e: -e)).otherwise(F.raise_error(F.lit("factors of one and two variables are needed")).cast("array<double>"))
+    minus = F.when(F.size("vars").between(1, 2), F.transform("energies", lambda e: -e)).otherwise(F.raise_error(F.lit("factors of one and two variables are needed")).cast("array<double>"))
     block = lambda v: F.shiftright(v.cast("long"), BLOCK_BITS)
     none, one = F.expr("cast(array() as array<double>)"), F.lit(1)
-    scores = rows.select("graph_id", F.size("vars").alias("kind"), first.alias("a"), F.coalesce(second, first).alias("b"), ca.alias("ca"), F.coalesce(cb, one).alias("cb"), fits.alias("t"))
-    across = rows.where(two & (block(first) != block(second)))
-    ends = across.select("graph_id", F.explode("vars").alias("a")).distinct()
-    part = lambda df, kind, t, ca="ca": df.select(F.col("graph_id").cast("long").alias("graph_id"), block(F.col("a")).alias("block"), F.lit(kind).alias("kind"), F.col("a").cast("int").alias("a"), F.col("a").cast("int").alias("b"), F.col(ca).cast("int").alias("ca") if ca else one.alias("ca"), one.alias("cb"), t.alias("t"))
-    parts = part(variable.withColumnRenamed("var_id", "a"), 0, none, "card").unionByName(part(ends, 3, none, None))
-    parts = parts.unionByName(scores.where(block(F.col("a")) == block(F.col("b"))).select("graph_id", block(F.col("a")).alias("block"), "kind", *[F.col(c).cast("int").alias(c) for c in ("a", "b", "ca", "cb")], "t"))
+
+    def part(kind: int | Column, a: Column, b: Column, ca: Column, cb: Column, t: Column) -> Column:
+        numbers = zip(("kind", "a", "b", "ca", "cb"), (F.lit(kind) if isinstance(kind, int) else kind, a, b, ca, cb))
+        return F.struct(block(a).alias("block"), *[c.cast("int").alias(name) for name, c in numbers], t.alias("t"))
+
+    single = F.array(part(1, first, first, ca, one, minus))
+    inner = F.array(part(2, first, second, ca, cb, minus))
+    across = F.array(part(5, first, second, ca, cb, minus), part(3, second, second, one, one, none))
+    own = F.when(second.isNull(), single).when(block(first) == block(second), inner).otherwise(across)
+    graph = F.col("graph_id").cast("long").alias("graph_id")
+    parts = grouped.packed(tables, variable).select(graph, F.explode(own).alias("x")).select("graph_id", "x.*")
+    parts = parts.unionByName(variable.select(graph, part(0, F.col("var_id"), F.col("var_id"), F.col("card"), one, none).alias("x")).select("graph_id", "x.*"))
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left = cut_lineage(parts.repartition(n, "graph_id", "block").sortWithinPartitions("graph_id", "block", "kind").mapInArrow(_without_inner, _PARTS))
-    up, minus = first < second, F.transform("energies", lambda e: -e)
-    wide = across.select("graph_id", F.least(first, second).alias("a"), F.greatest(first, second).alias("b"), F.when(up, ca).otherwise(cb).alias("ca"), F.when(up, cb).otherwise(ca).alias("cb"), F.when(up, minus).otherwise(_turned(minus, ca, cb)).alias("t"))
     nodes = left.where("kind = 0").select("graph_id", F.col("a").alias("var_id"), F.col("ca").alias("card"), F.col("t").alias("u"))
-    edges = _merged(left.where("kind = 2").select("graph_id", "a", "b", "ca", "cb", "t").unionByName(wide))
+    v, w, cv, cw = (F.col(c) for c in ("a", "b", "ca", "cb"))
+    wide = left.where("kind = 5").select("graph_id", F.least(v, w).alias("v"), F.greatest(v, w).alias("w"), F.when(v < w, cv).otherwise(cw).alias("cv"), F.when(v < w, cw).otherwise(cv).alias("cw"), F.when(v < w, F.col("t")).otherwise(_turned(F.col("t"), cv, cw)).alias("s"))
+    edges = _merged(left.where("kind = 2").select("graph_id", "a", "b", "ca", "cb", "t").union(wide))
     return nodes, edges, left.where("kind = 4").select("graph_id", F.get("t", F.lit(0)).alias("z"))
 
 
