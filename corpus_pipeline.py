@@ -27,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id."""
-    return shingle_copies.one_of_each(docs)
+    """One document of each group of near copies stays, that with the smallest id: SimHash fingerprints at most 4 bits apart
+    link, as in op3, and so do shingle sets of a similarity of 0.8 or more."""
+    return shingle_copies.one_of_each(docs, radius=4)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

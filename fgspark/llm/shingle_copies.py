@@ -8,6 +8,8 @@ texts shows to be frequent come last in the order, which spares work and cannot
 Pairs under a common shingle are let through by two bounds that no similar pair breaks: that of the sizes, and that of
 the sets' difference (each shingle in one set only flips one parity bit, so parities differ in at most as many bits).
 What is left is grouped, each group's shingle sets are brought together once, and their exact similarities link.
+
+With a radius, SimHash fingerprints link too, as simhash.near_copies() links them; groups are those of both kinds of links.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import forget, in_blocks, pieces, settle, utf8, written
 from .components import components, forest
-from .simhash import BLOCK
+from .simhash import BLOCK, fingerprint, near_links
 
 WORDS, PERCENT = 5, 80
+#: Words of the shingles of a fingerprint.
+MARKED = 4
 #: One in SAMPLE of the texts is looked at for frequent shingles; so often a frequent one is there; so many are kept.
 SAMPLE, FREQUENT, MOST_FREQUENT = 128, 4, 50_000
 #: Sets, and shingles of all sets (8 bytes each), that are compared exactly at a time.
@@ -176,9 +180,21 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
-def firsts(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def _with_marks(points: DataFrame, reached: DataFrame, radius: int) -> DataFrame:
+    """points: node, fp. (node, component) by the links of reached, which is deleted, and of near fingerprints."""
+    near = components(near_links(points.select("fp").distinct(), radius))
+    classes = points.select("node", "fp").join(near.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("component", "fp").alias("root"))
+    least = written(classes.groupBy("root").agg(F.min("node").alias("first")))  # so that the join can split a large component
+    stars = classes.join(least, "root").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    both = components(stars.unionByName(reached.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    forget(near, least, reached)
+    return both
+
+
+def firsts(texts: DataFrame, words: int = WORDS, percent: int = PERCENT, radius: int | None = None) -> DataFrame:
     """texts: key binary (equal for equal texts only), id long, t binary. Returns (key, id) of the first row of each group
     of near copies: its smallest id, of rows of equal id the smallest key. forget() takes what is returned.
+    radius: fingerprints at most so many bits apart link too (None: they do not).
 
     Texts are read for the shingles of their prefixes, which a row per key keeps (combined before the shuffle where
     copies abound), and again, a row of each key, where there is a possible partner.
@@ -192,7 +208,8 @@ def firsts(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
                 sets = [shingles(t, words) for t in values]
                 keys = pa.array([prefix(s, frequent, weights, percent).view("<i8") for s in sets], pa.list_(pa.int64()))
                 own = [batch.column(c).slice(first, len(values)) for c in ("key", "id")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), keys], names=["key", "id", "n", "bits", "keys"])
+                marks = np.array([0 if radius is None else fingerprint(t, MARKED) for t in values], "<u8").view("<i8")
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(marks), pa.array([parities(s) for s in sets], pa.binary()), keys], names=["key", "id", "n", "fp", "bits", "keys"])
         settle()
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +218,8 @@ def firsts(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(first, len(values)), pa.array([shingles(t, words).tobytes() for t in values], pa.binary())], names=["key", "hashes"])
         settle()
 
-    found = texts.select("key", "id", "t").mapInArrow(points_of, "key binary, id long, n long, bits binary, keys array<long>")
-    points = found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bits", "keys")])
+    found = texts.select("key", "id", "t").mapInArrow(points_of, "key binary, id long, n long, fp long, bits binary, keys array<long>")
+    points = found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "keys")])
     points = written(points.withColumn("node", F.monotonically_increasing_id()))
     cells = in_blocks(points.select(F.explode("keys").alias("bucket"), "node"), BLOCK)
     loose = _linked(cells.join(points.select("node", "n", "bits"), "node").select("bucket", "x", "y", "side", "node", "n", "bits"), _loose, percent)
@@ -213,14 +230,18 @@ def firsts(texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     sets = written(sets.groupBy("key").agg(F.first("hashes").alias("hashes")).join(groups.select("key", "node"), "key").select("node", "hashes"))
     cells = in_blocks(groups.select("bucket", "node", "n"), min(BLOCK, EXACT_BLOCK), "n", HEAVY)
     reached = _linked(cells.join(sets, "node").select("bucket", "x", "y", "side", "node", "hashes"), _exact, percent)
+    if radius is not None:
+        reached = _with_marks(points, reached, radius)
     named = points.select("node", "key", "id").join(reached, "node", "left").select("key", "id", F.coalesce("component", "node").alias("root"))
     least = named.groupBy("root").agg(F.min(F.struct("id", "key")).alias("least"))
     return written(least.select("least.key", "least.id"), instead_of=(points, groups, sets, reached))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
     """docs with one row of each group of near copies, the one with the smallest id; all columns stay.
 
+    radius: SimHash fingerprints at most so many bits apart make near copies too.
+
     Null text counts as empty; empty texts are one group. Null ids come after all others, by a hash of the text. Rows
     equal in id and text count once. An empty table stays empty. Equality of texts is that of 128 bits of their SHA-256.
     The rows that stay are found from ids and hashes; then the texts are dealt once, past a hash table of those.
@@ -228,7 +249,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     data = utf8(text_col)
     row_id = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64(F.lit(1), data), F.lit(1 << 61)))
     keyed = docs.withColumns({"__key": F.substring(F.unhex(F.sha2(data, 256)), 1, 16), "__id": row_id})
-    kept = firsts(keyed.select(F.col("__key").alias("key"), F.col("__id").alias("id"), data.alias("t"))).select(F.col("key").alias("__key"), F.col("id").alias("__id"))
+    kept = firsts(keyed.select(F.col("__key").alias("key"), F.col("__id").alias("id"), data.alias("t")), radius=radius).select(F.col("key").alias("__key"), F.col("id").alias("__id"))
     chosen = keyed.join(kept.hint("shuffle_hash"), ["__key", "__id"], "left_semi")
     repeated = written(keyed.groupBy("__key", "__id").agg(F.count("*").alias("n")).where("n > 1").select("__key", "__id"))
     if not repeated.limit(1).count():
