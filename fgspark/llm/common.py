@@ -67,6 +67,15 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def by_sort(df: DataFrame) -> DataFrame:
+    """df as a side of a join that shuffles and sorts both sides, whatever their size.
+
+    Spark takes a table for as large as its compressed files, and exploded rows for as large as those before; by that it
+    broadcasts, through the driver, what is many times as large as it may be (millions of copies, 31 rows of a point).
+    """
+    return df.hint("merge")
+
+
 def in_blocks(grouped: DataFrame, block: int, weight: str | None = None, heavy: int = 1) -> DataFrame:
     """grouped: bucket, node (and weight), each pair once. (bucket, x, y, side, node): cells in which all pairs of a bucket meet.
 
@@ -76,7 +85,7 @@ def in_blocks(grouped: DataFrame, block: int, weight: str | None = None, heavy:
     """
     sums = [F.count("*").alias("n"), *([F.sum(weight).alias("heavy")] if weight else [])]
     sizes = grouped.groupBy("bucket").agg(*sums).where("n > 1")
-    full = grouped.select("bucket", "node").join(sizes, "bucket")
+    full = grouped.select("bucket", "node").join(by_sort(sizes), "bucket")
     fits, blocks = F.col("n") <= block, F.ceil(F.col("n") / (block // 2))
     if weight:
         fits, blocks = fits & (F.col("heavy") <= heavy), F.greatest(blocks, F.ceil(F.col("heavy") / F.lit(max(1, heavy // 2))))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, settle, written
+from .common import by_sort, forget, settle, written
 
 #: Links that one union-find holds at a time.
 FOREST_LINKS = 500_000
@@ -60,8 +60,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     first replaces its links by stars of the same reach. Then stars alternate (large: a node's greater neighbours move
     to its smallest one; small: its smaller neighbours do) until nothing changes, a logarithmic number of rounds. A
     round is joins and sums by key over links alone and ends in a table, which takes the place of the last one; a hub
-    with many links is summed before the shuffle, and the joins' skewed partitions can be split. forget() takes what is
-    returned.
+    with many links is summed before the shuffle, the joins' skewed partitions can be split, and no side is
+    broadcast. forget() takes what is returned.
     """
     a, b = links.columns
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
@@ -74,9 +74,9 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         seen = tuple(state)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(by_sort(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(by_sort(down), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(down.withColumnRenamed("m", "v")).distinct(), instead_of=(edges,))
     else:
         forget(edges)

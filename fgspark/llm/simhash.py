@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, in_blocks, pieces, utf8, written
+from .common import by_sort, forget, in_blocks, pieces, utf8, written
 from .components import components, forest
 
 HASH_SEED = 42
@@ -127,12 +127,12 @@ def near_copies(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str =
     component_id is the smallest doc_id reachable by links between fingerprints at most `radius` bits apart. Equal
     fingerprints are one point, so a group of copies costs one. Null text: as empty. Null doc_id: gets a component_id
     by its fingerprint like others but gives none (null if no other id is there). Repeated rows stay. An empty table
-    gives none. Other columns are not read.
+    gives none. Other columns are not read. No table goes through the driver.
     """
     marked = written(fingerprints(docs, words, id_col, text_col))
     points = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     reached = components(near_links(points.select("fp"), radius))
-    classes = written(points.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), instead_of=(reached,))
+    classes = written(points.join(by_sort(reached), F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), instead_of=(reached,))
     least = written(classes.groupBy("root").agg(F.min("first").alias("component_id")))  # so that the join can split a large component
-    named = classes.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = classes.join(by_sort(least), "root").select("fp", "component_id")
+    return marked.join(by_sort(named), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
